@@ -3,8 +3,20 @@
 from tidemark.llm.exact_dedup import ORACLE as EXACT_DEDUP
 from tidemark.llm.exact_dedup import op9_exact_dedup
 from tidemark.llm.id_files import op1_token_id_files
+from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.near_dedup import op10_minhash_near_dedup
 from tidemark.llm.packing import op6_sum_of_squares_packing
+from tidemark.llm.quality_rules import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_token_id_files, op6_sum_of_squares_packing, op9_exact_dedup, op10_minhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_id_files,
+        op3_language_id,
+        op6_sum_of_squares_packing,
+        op7_quality_rules,
+        op9_exact_dedup,
+        op10_minhash_near_dedup,
+    )
+}
 ORACLE_SQL = {"op9_exact_dedup": EXACT_DEDUP}
