@@ -2,8 +2,10 @@
 
 from tidemark.llm.exact_dedup import ORACLE as EXACT_DEDUP
 from tidemark.llm.exact_dedup import op9_exact_dedup
+from tidemark.llm.html_text import op4_html_text
 from tidemark.llm.id_files import op1_token_id_files
 from tidemark.llm.language_id import op3_language_id
+from tidemark.llm.media import op5_media_columns
 from tidemark.llm.near_dedup import op10_minhash_near_dedup
 from tidemark.llm.packing import op6_sum_of_squares_packing
 from tidemark.llm.quality_rules import op7_quality_rules
@@ -13,6 +15,8 @@ QUERIES = {
     for f in (
         op1_token_id_files,
         op3_language_id,
+        op4_html_text,
+        op5_media_columns,
         op6_sum_of_squares_packing,
         op7_quality_rules,
         op9_exact_dedup,
