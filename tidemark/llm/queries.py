@@ -9,11 +9,13 @@ from tidemark.llm.media import op5_media_columns
 from tidemark.llm.near_dedup import op10_minhash_near_dedup
 from tidemark.llm.packing import op6_sum_of_squares_packing
 from tidemark.llm.quality_rules import op7_quality_rules
+from tidemark.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_id_files,
+        op2_substring_dedup,
         op3_language_id,
         op4_html_text,
         op5_media_columns,
