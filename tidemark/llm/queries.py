@@ -8,6 +8,7 @@ from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.media import op5_media_columns
 from tidemark.llm.near_dedup import op10_minhash_near_dedup
 from tidemark.llm.packing import op6_sum_of_squares_packing
+from tidemark.llm.piece_viterbi import op8_piece_viterbi
 from tidemark.llm.quality_rules import op7_quality_rules
 from tidemark.llm.substring_dedup import op2_substring_dedup
 
@@ -21,6 +22,7 @@ QUERIES = {
         op5_media_columns,
         op6_sum_of_squares_packing,
         op7_quality_rules,
+        op8_piece_viterbi,
         op9_exact_dedup,
         op10_minhash_near_dedup,
     )
