@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +47,17 @@ class Service:
         self.spark, self.root, self.store, self.trust_scan = spark, root, store, trust_scan
         self.clock = 0
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        """``df`` as it is now. A cache would do for one call, but Spark would give it to the next one too, after the tree has changed."""
+        path = f"{self.store.folder}/_staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _files(self) -> DataFrame:
         return tree.as_text(tree.files(self.spark, self.root, suffix=".py", skip_hidden=True))
 
     def _evaluate(self, keys: DataFrame) -> DataFrame:
-        files = self._files().cache()
+        files = self._hold(self._files())
         facts = syntax.index(files)
         edges = syntax.approximate_calls(files)
         both = edges.select(F.lit("callers").alias("relation"), "subject", "member").unionByName(edges.select(F.lit("references").alias("relation"), "subject", "member"))
@@ -73,7 +81,7 @@ class Service:
 
     def reconcile(self) -> tuple[str, int]:
         """The snapshot of the tree as it is, after results that a change touched were looked at; and the number of changes."""
-        entries = delta.manifest_entries(delta.manifest(self._files())).cache()
+        entries = self._hold(delta.manifest_entries(delta.manifest(self._files())))
         manifest = delta.manifest_id(entries).first()["digest"]
         head = self._head()
         if head and head[1] == manifest:
@@ -83,7 +91,7 @@ class Service:
         row = row.withColumn("snapshot_id", snapshot_id("manifest_id", "environment_id", "parent_id", "git_commit", "created_at"))
         snapshot = row.first()["snapshot_id"]
         old = self.store.read("manifests").where(F.col("manifest_id") == (head[1] if head else "")).select("path", "digest")
-        changes = delta.reconcile(old, entries).cache()
+        changes = self._hold(delta.reconcile(old, entries))
         n = changes.count()
         if head and n:
             self._transition(changes, snapshot, now)
@@ -92,12 +100,12 @@ class Service:
         return snapshot, n
 
     def _transition(self, changes: DataFrame, snapshot: str, now: int) -> None:
-        observed = self.store.recorded().cache()
+        observed = self._hold(self.store.recorded())
         views = observed.groupBy("projection_id").agg(F.max_by(F.struct("kind", "subject", "scope", "anchor"), "seq").alias("v")).select("projection_id", "v.*")
-        touched = delta.candidates(changes, views).cache()
+        touched = self._hold(delta.candidates(changes, views))
         evaluated = self._evaluate(touched)
         prior = observed.select("projection_id", F.col("value_digest").alias("digest"), "seq")
-        outcome = transition.outcomes(touched, evaluated, prior).cache()
+        outcome = self._hold(transition.outcomes(touched, evaluated, prior))
         changed = outcome.where("outcome = 'changed'")
         past = self.store.read("attestations")
         pinned = transition.pins(past, observed.select("observation_id", "projection_id", F.col("value_digest").alias("digest")))
@@ -127,11 +135,11 @@ class Service:
         keys = self._key(*views[0])
         for v in views[1:]:
             keys = keys.unionByName(self._key(*v))
-        seen = self._evaluate(keys).join(keys, "projection_id").where("value IS NOT NULL").cache()
+        seen = self._hold(self._evaluate(keys).join(keys, "projection_id").where("value IS NOT NULL"))
         payload = seen.orderBy("kind", "subject").agg(F.array_join(F.collect_list("value"), "\n")).first()[0] if subjects is None else value
         artifact = f"{key}@{now}"
         rows = seen.select("projection_id", "kind", "subject", "scope", F.lit(snapshot).alias("snapshot_id"), content_hash("value").alias("value_digest"), F.col("value").alias("canonical_value"), F.when(F.col("kind") == "file", F.col("subject")).alias("anchor"), F.lit(now).cast("long").alias("seq"))
-        rows = rows.withColumn("observation_id", observation_id("projection_id", "value_digest", "snapshot_id")).cache()
+        rows = self._hold(rows.withColumn("observation_id", observation_id("projection_id", "value_digest", "snapshot_id")))
         blob = self.spark.createDataFrame([(payload,)], "content string")
         self.store.put_blobs(blob)
         self.store.put("observations", rows)
@@ -160,16 +168,16 @@ class Service:
 
     def retrieve(self, key: str) -> dict:
         self.reconcile()
-        mine = self._standing().where(F.col("key") == key).cache()
+        mine = self._hold(self._standing().where(F.col("key") == key))
         row = mine.first()
         if row is None:
             self.log("retrieve", key, None, "unknown")
             return {"verdict": "unknown", "explanation": "no such key"}
         observed = self.store.recorded()
         first = self.store.read("attestations").where((F.col("artifact_id") == row["artifact_id"]) & (F.col("seq") == 1))
-        pins = transition.pins(first, observed.select("observation_id", "projection_id", F.col("value_digest").alias("digest"))).cache()
+        pins = self._hold(transition.pins(first, observed.select("observation_id", "projection_id", F.col("value_digest").alias("digest"))))
         views = observed.select("projection_id", "kind", "subject", "scope").distinct().join(pins.select("projection_id"), "projection_id", "left_semi")
-        now = self._evaluate(views).select("projection_id", "value", content_hash("value").alias("digest")).cache()
+        now = self._hold(self._evaluate(views).select("projection_id", "value", content_hash("value").alias("digest")))
         verdict = retrieve(mine, pins, now).first()["verdict"]
         moved = pins.join(now, "projection_id").join(views, "projection_id").where("NOT (pinned <=> digest)").select(F.format_string("dependency %s(%s) changed to [%s]", "kind", "subject", F.coalesce("value", F.lit("unobserved")))).collect()
         out = {"verdict": verdict, "explanation": "; ".join(sorted(r[0] for r in moved)) or "every dependency is unchanged"}

@@ -38,7 +38,7 @@ def enclosing(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
     """
     inside = (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
     defs = definitions.withColumnRenamed("document", "of_document")
-    joined = occurrences.join(defs, (F.col("document") == F.col("of_document")) & inside, "left")
+    joined = occurrences.select("occ_id", "document", "module", "line").join(defs, (F.col("document") == F.col("of_document")) & inside, "left")
     best = joined.groupBy("occ_id").agg(F.min(F.when(F.col("member").isNotNull(), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "pos", "member"))).alias("best"), F.first("module").alias("module"))
     return best.select("occ_id", F.coalesce("best.member", "module").alias("member"))
 
