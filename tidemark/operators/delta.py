@@ -84,3 +84,32 @@ def freeze(manifest_row: DataFrame, environment_row: DataFrame, parent: str | No
     both = manifest_row.select(F.col("digest").alias("manifest_id")).join(F.broadcast(environment_row.select(F.col("digest").alias("environment_id"))))
     out = both.select("*", F.lit(parent).cast("string").alias("parent_id"), F.lit(git_commit).cast("string").alias("git_commit"), F.lit(created_at).cast("long").alias("created_at"))
     return out.select(identity("snapshot.v1", "manifest_id", "environment_id", "parent_id", "git_commit", "created_at").alias("snapshot_id"), "*")
+
+
+def apply_operations(files: DataFrame, operations: DataFrame) -> DataFrame:
+    """A tree ``(path, content)`` after ``operations(op, path, content)``: add_file, replace_file, delete_file.
+
+    An operation that does not fit (adding what is there, replacing with the same, deleting what is not) stops the query, and so do two on one path.
+    """
+    was, ops = files.select("path", F.col("content").alias("was")), operations.select(F.col("path"), "op", F.col("content").alias("new"))
+    ops = ops.groupBy("path").agg(F.min("op").alias("op"), F.min("new").alias("new"), F.count(F.lit(1)).alias("n"))
+    joined = was.join(ops, "path", "full_outer")
+    there = F.col("was").isNotNull()
+    fits = F.when(F.col("op") == "add_file", ~there & F.col("new").isNotNull()).when(F.col("op") == "replace_file", there & ~F.col("new").eqNullSafe(F.col("was"))).when(F.col("op") == "delete_file", there)
+    bad = F.raise_error(F.concat(F.lit("operation does not fit: "), F.col("op"), F.lit(" "), F.col("path")))
+    content = F.when(F.col("op").isNull(), F.col("was")).when((F.col("n") > 1) | ~F.coalesce(fits, F.lit(False)), bad).when(F.col("op") != "delete_file", F.col("new"))
+    return joined.select("path", content.alias("content")).where("content IS NOT NULL")
+
+
+def tree_at(base: DataFrame, operations: DataFrame, parents: dict[str, str | None], mutation: str) -> DataFrame:
+    """The tree after a mutation and all its ancestors. ``operations(mutation, op, path, content)``; ``parents`` is a short catalog."""
+    chain: list[str] = []
+    at: str | None = mutation
+    while at is not None:
+        if at in chain:
+            raise ValueError(f"{at} is its own ancestor")
+        chain.append(at)
+        at = parents[at]
+    for name in reversed(chain):
+        base = apply_operations(base, operations.where(F.col("mutation") == name))
+    return base

@@ -121,3 +121,26 @@ def ladder(requests: DataFrame) -> DataFrame:
     strategies = {"fresh": F.col("seq").cast("string"), "exact": F.concat_ws("|", "subject", "tree_digest"), "file": F.concat_ws("|", "subject", "file_digest"), "scoped": F.concat_ws("|", "subject", "scoped_digest")}
     keyed = requests.select(F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), k.alias("key")) for n, k in strategies.items()])).alias("k")).select("k.*")
     return keyed.groupBy("strategy", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("strategy").agg(F.sum("n").cast("long").alias("requests"), F.count(F.lit(1)).alias("recomputations"), F.sum(F.col("n") - 1).cast("long").alias("hits"))
+
+
+def pair_metric_diffs(attempts: DataFrame, metric: str) -> DataFrame:
+    """``attempts(pair, condition, valid, ...)``: of the valid pairs, number, median and mean of B minus A."""
+    sums = attempts.where("valid").groupBy("pair").agg(*[F.sum(F.when(F.col("condition") == c, F.col(metric))).alias(c) for c in ("A", "B")])
+    diff = (F.col("B") - F.col("A")).cast("double")
+    return sums.where("A IS NOT NULL AND B IS NOT NULL").agg(F.count(F.lit(1)).alias("pairs"), F.median(diff).alias("median"), F.avg(diff).alias("mean"))
+
+
+def event_counters(events: DataFrame) -> DataFrame:
+    """Counters of ``events(line_no, message_id, tool_id, kind, input_tokens, output_tokens)`` of a run: the first line of a message and of a tool call counts."""
+    messages = first_events(events.where("kind = 'message'"), "message_id").agg(F.count(F.lit(1)).alias("model_calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).cast("long").alias("output_tokens"))
+    kinds = ["read", "search", "shell", "edit", "query"]
+    calls = first_events(events.where("kind <> 'message'"), "tool_id").agg(F.count(F.lit(1)).alias("tool_ops"), *[F.count_if(F.col("kind") == k).alias(f"{k}_ops") for k in kinds])
+    return messages.join(F.broadcast(calls))  # one row each
+
+
+def materialize(reuse_probability: Column, recompute: Column, *costs: Column) -> Column:
+    """Store a result if what its reuse is expected to save is more than capturing, validating, storing and retrieving cost."""
+    total = costs[0]
+    for c in costs[1:]:
+        total = total + c
+    return reuse_probability * recompute > total

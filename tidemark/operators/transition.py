@@ -9,6 +9,10 @@ from tidemark.functions.identity import attestation_id, content_hash, verifier_i
 
 SET_EQUALITY, ABSENCE = "set-equality.v1", "absence-fact.v1"
 
+#: contract: when it holds, over the touched views of an artifact (``equal``: all have their pinned digest; ``empty``: all are the empty set).
+#: A further contract is a further entry.
+CONTRACTS = {SET_EQUALITY: lambda: F.col("equal"), ABSENCE: lambda: F.col("empty")}
+
 
 def outcomes(candidates: DataFrame, evaluated: DataFrame, prior: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """``(projection_id, outcome, value, digest, prior_digest, value_changed, claim_dirty, authoritative, completeness)`` of the candidates.
@@ -64,8 +68,8 @@ def verdicts(changed: DataFrame, dependencies: DataFrame, pinned: DataFrame, art
         F.count(F.lit(1)).alias("touched"),
     )
     joined = grouped.join(artifacts.select("artifact_id", "contract"), "artifact_id")
-    holds = F.when(F.col("contract") == SET_EQUALITY, F.col("equal")).when(F.col("contract") == ABSENCE, F.col("empty"))
-    verdict = F.when(~F.col("decidable") | F.col("contract").isNull(), "undecidable").when(~holds, "fails").when(F.col("unproven"), "undecidable").otherwise("holds")
+    holds = F.coalesce(*[F.when(F.col("contract") == name, condition()) for name, condition in CONTRACTS.items()])
+    verdict = F.when(~F.col("decidable") | holds.isNull(), "undecidable").when(~holds, "fails").when(F.col("unproven"), "undecidable").otherwise("holds")
     return standing(joined.withColumn("verdict", verdict)).select("artifact_id", "contract", "verdict", "validity", "authority", "level", "verifier", "touched")
 
 

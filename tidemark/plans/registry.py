@@ -690,3 +690,69 @@ def tool_lookup(spark, sf):
 def view_anchor(spark, sf):
     r = _recorded(spark, sf).drop("anchor")
     return r.select("subject", transition.anchor("kind", "subject", F.concat(F.lit("part/"), F.substring("subject", 6, 20), F.lit(".py"))).alias("anchor"), "kind")
+
+
+# Snapshots, trees, costs, garbage
+
+
+@query(
+    "WITH leaf AS (SELECT DISTINCT sha256(concat_ws(chr(31), path, digest)) AS leaf FROM m0), b AS (SELECT substr(leaf,1,3) AS k, sha256(string_agg(leaf, chr(31) ORDER BY leaf)) AS d FROM leaf GROUP BY 1), "
+    "el AS (SELECT DISTINCT sha256(concat_ws(chr(31), n_name, 'sha256:'||sha256(CAST(n_regionkey AS VARCHAR)))) AS leaf FROM nation), eb AS (SELECT substr(leaf,1,3) AS k, sha256(string_agg(leaf, chr(31) ORDER BY leaf)) AS d FROM el GROUP BY 1), "
+    "i AS (SELECT (SELECT 'sha256:'||sha256('manifest.v1'||chr(31)||string_agg(d,chr(31) ORDER BY k)) FROM b) AS manifest_id, (SELECT 'sha256:'||sha256('environment.v1'||chr(31)||string_agg(d,chr(31) ORDER BY k)) FROM eb) AS environment_id) "
+    "SELECT 'sha256:'||sha256(concat_ws(chr(31),'snapshot.v1',manifest_id,environment_id,'~','~','1700000000000')) AS snapshot_id, manifest_id, environment_id FROM i"
+)
+def snapshot_freeze(spark, sf):
+    return delta.freeze(manifest_identity(spark, sf), environment_identity(spark, sf), None, None, 1_700_000_000_000).select("snapshot_id", "manifest_id", "environment_id")
+
+
+@query("SELECT path, sha256(content) AS digest FROM (SELECT path, CASE WHEN length(content)%7=1 THEN content||'!' ELSE content END AS content FROM files0 WHERE length(content)%7<>0 UNION ALL SELECT 'new/'||path, content FROM files0 WHERE length(content)%7=2)")
+def apply_operations(spark, sf):
+    f = w.source_files(spark, sf, 0).withColumn("n", F.length("content") % 7)
+    gone = f.where("n = 0").select(F.lit("delete_file").alias("op"), "path", F.lit(None).cast("string").alias("content"))
+    other = f.where("n = 1").select(F.lit("replace_file").alias("op"), "path", F.concat("content", F.lit("!")).alias("content"))
+    new = f.where("n = 2").select(F.lit("add_file").alias("op"), F.concat(F.lit("new/"), "path").alias("path"), "content")
+    return delta.apply_operations(f.drop("n"), gone.unionByName(other).unionByName(new)).select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+@query("WITH p AS (SELECT o_orderkey%40 AS pair, sum(o_custkey) FILTER (o_custkey%2=1) - sum(o_custkey) FILTER (o_custkey%2=0) AS d FROM orders WHERE o_orderkey%40%3<>0 GROUP BY 1) SELECT count(*) AS pairs, CAST(median(d) AS DOUBLE) AS median, CAST(avg(d) AS DOUBLE) AS mean FROM p WHERE d IS NOT NULL")
+def pair_metric_diffs(spark, sf):
+    o = w.table(spark, sf, "orders")
+    rows = o.select((F.col("o_orderkey") % 40).alias("pair"), F.when(F.expr("o_custkey % 2 = 0"), "A").otherwise("B").alias("condition"), F.expr("o_orderkey % 40 % 3 <> 0").alias("valid"), F.col("o_custkey").alias("tokens"))
+    return measures.pair_metric_diffs(rows, "tokens")
+
+
+@query(
+    "WITH e AS (SELECT event_id AS line_no, ['message','read','search','shell','edit','query'][CAST(event_id%6 AS INT)+1] AS kind, event_id//12 AS id, user_id AS i FROM events), "
+    "m AS (SELECT * FROM e WHERE kind='message' QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no)=1), t AS (SELECT * FROM e WHERE kind<>'message' QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no)=1) "
+    "SELECT (SELECT count(*) FROM m) AS model_calls, (SELECT CAST(sum(i) AS BIGINT) FROM m) AS input_tokens, (SELECT CAST(sum(line_no) AS BIGINT) FROM m) AS output_tokens, count(*) AS tool_ops, count(*) FILTER (kind='read') AS read_ops, count(*) FILTER (kind='search') AS search_ops, count(*) FILTER (kind='shell') AS shell_ops, count(*) FILTER (kind='edit') AS edit_ops, count(*) FILTER (kind='query') AS query_ops FROM t"
+)
+def event_counters(spark, sf):
+    e = w.table(spark, sf, "events")
+    kind = F.element_at(F.array(*map(F.lit, ["message", "read", "search", "shell", "edit", "query"])), F.expr("CAST(event_id % 6 AS INT) + 1"))
+    key = F.expr("event_id div 12")
+    return measures.event_counters(e.select(F.col("event_id").alias("line_no"), key.alias("message_id"), key.alias("tool_id"), kind.alias("kind"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens")))
+
+
+@query("SELECT p_partkey, 0.5*p_size > 3 + p_partkey%5 + 1 + 1 AS stored FROM part")
+def materialize_decision(spark, sf):
+    p = w.table(spark, sf, "part")
+    return p.select("p_partkey", measures.materialize(F.lit(0.5), F.col("p_size"), F.lit(3), F.expr("p_partkey % 5"), F.lit(1), F.lit(1)).alias("stored"))
+
+
+@query("SELECT blob_id FROM (SELECT 'b'||o_orderkey AS blob_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn>1")
+def garbage_blobs(spark, sf):
+    o = w.table(spark, sf, "orders")
+    name = lambda x: F.concat(F.lit(x), _s("o_orderkey"))
+    registry = o.select(_s("o_custkey").alias("key"), name("a").alias("artifact_id"), F.col("o_orderkey").alias("created_at"))
+    return store.collectable(o.select(name("b").alias("blob_id")), o.select(name("a").alias("artifact_id"), name("b").alias("payload_ref")), registry)
+
+
+@query("SELECT key, CASE WHEN bool_or(v0.value IS DISTINCT FROM v1.value) THEN CASE WHEN contract='absence-fact.v1' AND bool_and(v1.value='') FILTER (v0.value IS DISTINCT FROM v1.value) THEN 'VALID' ELSE 'STALE' END ELSE 'VALID' END AS validity FROM (SELECT artifact_id AS key, artifact_id, contract FROM arts) a JOIN deps USING (artifact_id) JOIN v0 USING (projection_id) JOIN v1 USING (projection_id) GROUP BY key, contract")
+def status(spark, sf):
+    """Latest validity of every key after the delta: what was valid at the base, with what the transition appended."""
+    base = w.dependencies(spark, sf).select("artifact_id").distinct().select("artifact_id", F.lit("VALID").alias("validity"), F.lit(1).cast("long").alias("seq"))
+    found = delta.candidates(reconcile(spark, sf), w.keys(spark, sf, "callers").withColumn("anchor", F.lit(None).cast("string")))
+    evaluated = w.values(spark, sf, 1).select("projection_id", "value", F.lit(True).alias("authoritative"))
+    changed = transition.outcomes(found, evaluated, w.observations(spark, sf)).where("outcome = 'changed'")
+    appended = transition.verdicts(changed, w.dependencies(spark, sf), _pins(spark, sf), w.artifacts(spark, sf)).select("artifact_id", "validity", F.lit(2).cast("long").alias("seq"))
+    return history.latest_validity(base.unionByName(appended)).select(F.col("artifact_id").alias("key"), "validity")

@@ -90,3 +90,10 @@ def orphans(blobs: DataFrame, referenced: DataFrame) -> DataFrame:
 
 def missing(referenced: DataFrame, blobs: DataFrame) -> DataFrame:
     return referenced.select("blob_id").distinct().join(blobs.select("blob_id"), "blob_id", "left_anti")
+
+
+def collectable(blobs: DataFrame, artifacts: DataFrame, registry: DataFrame) -> DataFrame:
+    """Mark and sweep: blobs that no artifact under a current key refers to. A report; nothing is deleted."""
+    current = registry.groupBy("key").agg(F.max_by("artifact_id", "created_at").alias("artifact_id")).select("artifact_id").distinct()
+    live = artifacts.join(current, "artifact_id", "left_semi").select(F.col("payload_ref").alias("blob_id"))
+    return orphans(blobs, live)
