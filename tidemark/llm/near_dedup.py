@@ -31,8 +31,11 @@ from tidemark.llm.words import bytes_of, mix, shingle_hashes, slices, word_hashe
 BINS, ROWS, BANDS = 256, 6, 42
 #: Pairs of a hot centre are dealt to so many tasks.
 SALTS = 32
-#: Members of a block, when a bucket is worked on block by block.
-BLOCK = 256
+#: Members of a block, when a bucket is worked on block by block: of short signatures, and of sets.
+WIDE, BLOCK = 1024, 256
+#: Equal places of the ``BINS`` in two short signatures that a pair needs to be looked at on full sets. A pair of
+#: similarity 0.8 has 205, with a deviation of 6.4.
+AGREE = 150
 
 _order = mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS)
 _band_base = mix(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(20))
@@ -53,8 +56,8 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets(values: np.ndarray) -> np.ndarray:
-    out, sig = _band_base.copy(), signature(values)[: BANDS * ROWS].reshape(BANDS, ROWS)
+def buckets(sig: np.ndarray) -> np.ndarray:
+    out, sig = _band_base.copy(), sig[: BANDS * ROWS].reshape(BANDS, ROWS)
     for i in range(ROWS):
         out = mix(out + sig[:, i])
     return out.view(np.int64)
@@ -77,15 +80,18 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def features(docs: DataFrame, k: int) -> DataFrame:
     def each(batches):
         for batch in batches:
-            n, one, two, bands = [], [], [], []
+            n, one, two, bands, short = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 one.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 two.append(int(mix(s * np.uint64(3) + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                bands.append(buckets(s) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(bands)], names=["doc_id", "n", "f1", "f2", "bands"])
+                sig = signature(s) if len(s) else s
+                bands.append(buckets(sig) if len(s) else np.zeros(0, np.int64))
+                short.append(mix(sig).astype(np.uint8).tobytes())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(bands), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "bands", "short"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n long, f1 long, f2 long, bands array<long>, short binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -95,7 +101,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s.view(np.int64) for s in shingle_sets(batch.column(1), k)])], names=["id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return wanted.mapInArrow(each, "id long, shingles array<long>")
 
 
@@ -119,13 +125,36 @@ def stars(members: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
     return pairs.where(fits).select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
 
 
-def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components in the buckets ``rest(bucket, id, component)``, without a pair being emitted that is none."""
+def dealt_in_blocks(rest: DataFrame, values: DataFrame, size: int) -> DataFrame:
+    """``rest(bucket, id, component)`` with ``values(id, ...)``, each bucket cut into blocks and each pair of blocks (i, j) put together."""
     sizes = spill(rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content")), "sizes")
     once = sizes.groupBy("content", "size").agg(F.min("bucket").alias("bucket"))
-    blocked = rest.join(once, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocked = rest.join(once, "bucket").join(values, "id").withColumn("blocks", F.ceil(F.col("size") / size).cast("int"))
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = blocked.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component").join(sets, "id")
+    return blocked.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", *[c for c in values.columns if c != "id"])
+
+
+def likely(rest: DataFrame, shorts: DataFrame) -> DataFrame:
+    """The rows of ``rest`` that by their short signatures may have a link to a member of another component; no pair is emitted."""
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        sig = np.frombuffer(b"".join(group["short"]), np.uint8).reshape(len(group), BINS)
+        comp, own = group["component"].to_numpy(), group["own"].to_numpy()
+        across, hit = group["i"][0] != group["j"][0], np.zeros(len(group), bool)
+        for x in range(1, len(group)):
+            near = ((sig[:x] == sig[x]).sum(1) >= AGREE) & (comp[:x] != comp[x])
+            if across:
+                near &= own[:x] != own[x]
+            hit[:x] |= near
+            hit[x] |= near.any()
+        return group.loc[hit, ["bucket", "id", "component"]]
+
+    return dealt_in_blocks(rest, shorts, WIDE).groupBy("bucket", "i", "j").applyInPandas(each, "bucket long, id long, component long").distinct()
+
+
+def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components in the buckets ``rest(bucket, id, component)``; only links are emitted."""
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
@@ -151,7 +180,13 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     top[a] = b
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(each, "u long, v long")
+    return dealt_in_blocks(rest, sets, BLOCK).groupBy("bucket", "i", "j").applyInPandas(each, "u long, v long")
+
+
+def _with_missing(sets: DataFrame, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``sets`` and those of further ids; a pair that sizes excluded with every centre has none yet."""
+    missing = spill(ids.distinct().join(sets.select("id"), "id", "left_anti"), "missing")
+    return sets if missing.isEmpty() else sets.union(spill(sets_of(docs, missing, k), "sets"))
 
 
 def _apart(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -188,14 +223,14 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         best = spill(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "id", "n")).alias("c")).select("bucket", F.col("c.id").alias("center"), F.col("c.n").alias("center_n")), "centers")
         more = stars(rest.select("bucket", "id", "n"), best, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more = spill(more.join(pairs, ["u", "v"], "left_anti"), "pairs")
-        # A pair that sizes excluded with every centre has no set yet.
-        missing = rest.select("id").distinct().join(sets, "id", "left_anti")
-        sets = sets.union(spill(sets_of(docs, missing, k), "sets"))
+        sets = _with_missing(sets, docs, more.select(F.col("u").alias("id")).union(more.select("v")), k)
         links = links.union(spill(confirm(more, sets, percent), "links"))
         components = connected_components(links)
-        rest = spill(_apart(larger, components), "rest")
+        rest = _apart(larger, components).select("bucket", "id", "component")
+        rest = spill(likely(spill(rest, "rest"), reps.select(F.col("doc_id").alias("id"), "short")), "rest")
         if not rest.isEmpty():
-            found = spill(block_links(rest.select("bucket", "id", "component"), sets, percent), "links")
+            sets = _with_missing(sets, docs, rest.select("id"), k)
+            found = spill(block_links(rest, sets, percent), "links")
             if not found.isEmpty():
                 components = connected_components(links.union(found))
 
