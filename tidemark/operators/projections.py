@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.enums import KINDS, SCOPES, lookup
-from tidemark.functions.identity import projection_id, set_value
+from tidemark.functions.identity import US, content_hash, projection_id, set_value
 
 RELATIONS = ("references", "callers", "implementations", "subclasses")
 
@@ -64,6 +64,20 @@ def relation(keys_: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return keys_.join(sets, "subject", "left").select("projection_id", F.coalesce("found", F.lit("")).alias("value"))
 
 
+def relation_digest(keys_: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``(projection_id, members, digest)``: the size and the digest of a relation's set, for sets too large to be one value.
+
+    Members fall into 4096 buckets by their hash; a task holds one bucket of one subject, and a subject's digest is that of
+    its ordered bucket digests. Equal sets have equal digests, so the cutoff at unchanged values works on them as well.
+    """
+    own = edges.where(F.col("relation") == name).select("subject", F.sha2(F.col("member").cast("binary"), 256).alias("leaf")).distinct()
+    buckets = own.groupBy("subject", F.substring("leaf", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), US), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda b: b["d"]), US)
+    found = buckets.groupBy("subject").agg(F.sum("n").alias("members"), content_hash(F.concat_ws(US, F.lit("members.v1"), joined)).alias("digest"))
+    empty = content_hash(F.concat_ws(US, F.lit("members.v1"), F.lit("")))
+    return keys_.join(found, "subject", "left").select("projection_id", F.coalesce("members", F.lit(0)).cast("long").alias("members"), F.coalesce("digest", empty).alias("digest"))
+
+
 def imports(keys_: DataFrame, imports_: DataFrame) -> DataFrame:
     line = F.concat("target", F.lit(" as "), "binding", F.lit(" ("), F.col("from_import").cast("string"), F.lit(")"))
     sets = imports_.groupBy(F.col("module").alias("subject")).agg(set_value(line).alias("found"))

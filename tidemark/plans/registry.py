@@ -177,6 +177,16 @@ for _name in projections.RELATIONS:
     _relation(_name)
 
 
+@query(
+    "WITH leaf AS (SELECT DISTINCT subject, sha256(member) AS leaf FROM edges1 WHERE relation='callers'), b AS (SELECT subject, substr(leaf,1,3) AS k, sha256(string_agg(leaf, chr(31) ORDER BY leaf)) AS d, count(*) AS n FROM leaf GROUP BY 1,2), "
+    "s AS (SELECT subject, sum(n) AS n, 'sha256:'||sha256('members.v1'||chr(31)||string_agg(d, chr(31) ORDER BY k)) AS digest FROM b GROUP BY 1) "
+    "SELECT keys.subject, CAST(coalesce(n,0) AS BIGINT) AS members, coalesce(digest,'sha256:'||sha256('members.v1'||chr(31))) AS digest FROM keys LEFT JOIN s USING (subject)"
+)
+def view_callers_digest(spark, sf):
+    k = w.keys(spark, sf, "callers")
+    return projections.relation_digest(k, w.edges(spark, sf, 1), "callers").join(k, "projection_id").select("subject", "members", "digest")
+
+
 @query("SELECT lower(r_name) AS subject, string_agg(DISTINCT 'world.'||lower(n_name)||' as '||lower(n_name)||' ('||CASE WHEN n_nationkey%2=0 THEN 'true' ELSE 'false' END||')', '; ' ORDER BY 'world.'||lower(n_name)||' as '||lower(n_name)||' ('||CASE WHEN n_nationkey%2=0 THEN 'true' ELSE 'false' END||')') AS value FROM nation JOIN region ON n_regionkey=r_regionkey GROUP BY 1")
 def view_imports(spark, sf):
     k = projections.keys(w.table(spark, sf, "region").select(F.lower("r_name").alias("subject")), "imports")
