@@ -24,6 +24,11 @@ LOW, BITS = U(1 << 32), U(32)
 WEIGHTS = 256
 T2 = 18
 GAIN = 6
+#: Places of the order-0 interval for which the decoder keeps an entry into the ids.
+CELL = 64
+HASH_1, HASH_2, SHIFT = np.uint32(0x2F0B4C47), np.uint32(0x9E3779B1), np.uint32(32 - T2)
+#: Change of an entry by its confidence (0 to 3), without and with a hit.
+STEP = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int32)
 
 
 class Model:
@@ -35,8 +40,7 @@ class Model:
         self.two = np.zeros(1 << T2, np.int32)
         self.mixture = np.ones((32, 3), np.int64)
         self.kinds: list[np.ndarray] = []
-        self.last = np.zeros(lanes, np.int64)
-        self.key = np.zeros(lanes, np.int64)
+        self.last = self.key = np.zeros(lanes, np.int64)
         self.step = 0
         self._count()
         self._weigh()
@@ -45,9 +49,21 @@ class Model:
         if self.seen:
             self.counts += GAIN * np.bincount(np.concatenate(self.seen), minlength=self.ids)
             self.seen = []
-        self.below = np.zeros(self.ids + 1, np.int64)
-        np.cumsum(self.counts, out=self.below[1:])
-        self.total = int(self.below[-1])
+        self.below = np.full(self.ids + 1 + CELL, (1 << 31) - 1, np.int32)
+        self.below[0] = 0
+        np.cumsum(self.counts, out=self.below[1 : self.ids + 1])
+        self.total = int(self.below[self.ids])
+        self.cells = None
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The id whose interval holds each place: from the first id of its cell, which has ``CELL`` ids at most, by halving."""
+        if self.cells is None:
+            self.cells = np.searchsorted(self.below[: self.ids + 1], np.arange(0, self.total, CELL, dtype=np.int32), "right") - 1
+        at, step = self.cells.take(place // CELL), CELL
+        while step:
+            at += (self.below.take(at + step) <= place) * step
+            step >>= 1
+        return at
 
     def _weigh(self) -> None:
         if self.kinds:
@@ -61,21 +77,22 @@ class Model:
 
     def predict(self) -> None:
         """The entries of both predictions and the weights of this step, a lane each."""
-        self.e2, self.e1 = self.two[self.key], self.one[self.last]
+        self.e2, self.e1 = self.two.take(self.key), self.one.take(self.last)
         self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
         same = self.p2 == self.p1
-        self.context = ((self.e2 & 3) << 2 | (self.e1 & 3)) + (same << 4)
-        self.w2, self.w1, self.w12 = self.weight_2[self.context], self.weight_1[self.context], self.weight_12[self.context]
-        self.w0 = WEIGHTS - self.w12
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.kinds.append(self.context * 3 + kind)
-        fresh = ids.astype(np.int32) << 2
-        for table, at, entry, hit in ((self.two, self.key, self.e2, ids == self.p2), (self.one, self.last, self.e1, ids == self.p1)):
-            sure = entry & 3
-            table[at] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
-        self.key = ((self.last * 0x2F0B4C47 + ids * 0x9E3779B1) >> 7) & ((1 << T2) - 1)
-        self.last = ids
+        self.context = (self.e2 & 3) << 2 | (self.e1 & 3) | same.view(np.int8).astype(np.int32) << 4
+        self.w2, self.w12 = self.weight_2.take(self.context), self.weight_12.take(self.context)
+
+    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+        """``ids`` of this step; which of them order 2 said, and which order 1 but not order 2."""
+        self.kinds.append(self.context * 3 + (two.view(np.int8) * 2 + one.view(np.int8)))
+        fresh = ids << 2
+        for table, at, entry, hit in ((self.two, self.key, self.e2, two), (self.one, self.last, self.e1, ids == self.p1)):
+            # Confidence goes up with a hit and down without; at the lowest the entry becomes the new id.
+            state = (entry & 3) | hit.view(np.int8).astype(np.int32) << 2
+            table[at] = np.where(state == 0, fresh, entry + STEP.take(state))
+        self.key = ((self.last.astype(np.uint32) * HASH_1 + ids.view(np.uint32) * HASH_2) >> SHIFT).astype(np.int64)
+        self.last = ids.astype(np.int64)
         self.seen.append(ids)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
@@ -91,7 +108,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     n = len(ids)
     lanes = max(1, min(LANES, n // 128))
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(lanes, int(ids.max(initial=0)) + 1)
@@ -110,10 +127,13 @@ def encode_block(ids: np.ndarray) -> bytes:
         total = model.total
         two = row == model.p2
         one = (row == model.p1) & ~two
-        kind = two * 2 + one
-        start, size = model.w12 * total + model.w0 * model.below[row], model.w0 * model.counts.take(row)
-        start = np.where(two, 0, np.where(one, model.w2 * total, start))
-        size = np.where(two, model.w2 * total, np.where(one, model.w1 * total, size))
+        rest = WEIGHTS - model.w12
+        wide = row.astype(np.int64)
+        start, size = model.w12 * total + rest * model.below.take(wide), rest * model.counts.take(wide)
+        np.copyto(start, model.w2 * total, where=one)
+        np.copyto(size, (model.w12 - model.w2) * total, where=one)
+        np.copyto(start, 0, where=two)
+        np.copyto(size, model.w2 * total, where=two)
         span //= U(WEIGHTS * total)
         more = low + start.view(U) * span
         if (over := more < low).any():
@@ -125,7 +145,7 @@ def encode_block(ids: np.ndarray) -> bytes:
             at[short] += 1
             low[short] <<= BITS
             span[short] <<= BITS
-        model.learn(row, kind)
+        model.learn(row, two, one)
     more = low + (LOW - U(1))
     if (over := more < low).any():
         carry(np.flatnonzero(over))
@@ -157,22 +177,25 @@ def decode_block(data: bytes | memoryview, start: int = 0) -> tuple[np.ndarray,
     code |= np.where(place < stop, stream[place], U(0))
     place += 1
     model, span = Model(lanes, limit), np.full(lanes, ~U(0))
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for row in grid:
         model.predict()
         total = model.total
         span //= U(WEIGHTS * total)
         found = np.minimum(code // span, U(WEIGHTS * total - 1)).view(np.int64)
-        two = found < model.w2 * total
+        top = model.w2 * total
+        two = found < top
         rest = found - model.w12 * total
         one = (rest < 0) & ~two
         row[:] = np.where(two, model.p2, model.p1)
-        start_, size = np.where(two, 0, model.w2 * total), np.where(two, model.w2, model.w1) * total
+        start_, size = np.where(two, 0, top), np.where(two, top, model.w12 * total - top)
         if len(new := np.flatnonzero(rest >= 0)):
-            w0 = model.w0[new]
-            ids = np.searchsorted(model.below, rest[new] // w0, "right") - 1
+            w12 = model.w12.take(new)
+            w0 = WEIGHTS - w12
+            # Below 2**31, so the floating quotient has the right whole part.
+            ids = model.find((rest.take(new) / w0).astype(np.int32))
             row[new] = ids
-            start_[new] = model.w12[new] * total + w0 * model.below[ids]
+            start_[new] = w12 * total + w0 * model.below.take(ids)
             size[new] = w0 * model.counts.take(ids)
         code -= start_.view(U) * span
         span *= size.view(U)
@@ -181,7 +204,7 @@ def decode_block(data: bytes | memoryview, start: int = 0) -> tuple[np.ndarray,
             code[short] = code[short] << BITS | np.where(p < stop[short], stream[np.minimum(p, words)], U(0))
             place[short] += 1
             span[short] <<= BITS
-        model.learn(row.copy(), two * 2 + one)
+        model.learn(row, two, one)
     ids = grid.T.reshape(-1)[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("damaged block")
