@@ -15,8 +15,8 @@ import os
 import re
 from array import array
 
-#: Units held by a worker; the dictionary starts anew when it is full, which changes speed and no result.
-MOST_UNITS = 1_000_000
+#: Units, and pieces of them, held by a worker: some 60 MB each. A full dictionary starts anew, which changes speed and no result.
+MOST_UNITS = 350_000
 #: What these expressions cut alike in every Unicode version.
 _plain = re.compile(r"[ -~\n\t\r\xa1-\u012f]*")
 #: The cuts of the two public vocabularies' pre-tokenizers. Fixed values.
@@ -49,7 +49,8 @@ class Encoder:
 
     _held: dict[str, Encoder] = {}
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, most: int = MOST_UNITS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import regex
@@ -75,13 +76,14 @@ class Encoder:
         self.printable = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     @classmethod
-    def of(cls, name: str) -> Encoder:
+    def of(cls, name: str, most: int = MOST_UNITS) -> Encoder:
         if name not in cls._held:
             cls._held[name] = cls(name)
+        cls._held[name].most = most
         return cls._held[name]
 
     def learn(self, missing: list[str]) -> None:
-        if len(self.pieces) > MOST_UNITS:
+        if len(self.pieces) > self.most:
             self.pieces.clear()
         known, pieces = self.known, self.pieces
         plain, lower, cut, piece = _plain.fullmatch, self.lower, self.cut, self._piece
@@ -118,7 +120,7 @@ class Encoder:
 
     def _encode(self, texts: list[list[str]]) -> list[bytes]:
         wanted = set().union(*texts)
-        if len(self.known) + len(wanted) > MOST_UNITS:
+        if len(self.known) + len(wanted) > self.most:
             self.known = {u: self.known[u] for u in wanted if u in self.known}
         self.learn([u for u in wanted if u not in self.known])
         get = self.known.__getitem__
