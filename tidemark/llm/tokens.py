@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from array import array
 
 #: Units, and pieces of them, held by a worker: some 60 MB each. A full dictionary starts anew, which changes speed and no result.
@@ -25,6 +26,8 @@ LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _unit = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _odd = re.compile(r"[^\S \n\t\r]")
+#: White space besides spaces and line ends.
+_other = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 
 
 def vocabulary(name: str) -> str:
@@ -37,7 +40,7 @@ def vocabulary(name: str) -> str:
 
 
 def units(text: str) -> list[str]:
-    if "\0" not in text:
+    if "\0" not in text and not any(c in text for c in _other):
         found = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
         if len(found) == len(text.split()):  # each run of white space is one space or line end, none at either end
             return found
