@@ -4,7 +4,8 @@ The standard library's parser streams events. They make lines, one a block eleme
 tags and the region (article, main or nearest container) it is in; what stands in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments makes no line. The text-to-tag ratio of each line, smoothed
 with a Gaussian window over its neighbours, is compared with a threshold from the page's own spread: lines above it
-are content. Regions with a fair share of the page's content are the main text, with all their lines, short ones too.
+are content. Regions that hold such a line are the main text, with all their lines, short ones too; outside article and
+main elements the line's own ratio counts too. Marks in a class, id or role say nothing on an element with most of the text.
 
 Inside a block white space becomes one space; blocks are joined by a line end. Nulls: null html is empty and gives an
 empty text; null page_id and url stay null. Repeated rows give equal texts; an empty table gives an empty result;
@@ -39,31 +40,35 @@ MARKS = frozenset(
     "overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations comment comments commentlist "
     "respond disqus reply replies widget pagination pager skip search searchbox complementary contentinfo".split()
 )
-#: Spread of the smoothing window, in lines; share of the standard deviation that makes the threshold; share of content that makes a region main.
-SIGMA, SPREAD, SHARE = 1.5, 0.5, 0.1
+#: Spread of the smoothing window, in lines; share of the standard deviation that makes the threshold; share of a page's text that no mark takes out.
+SIGMA, SPREAD, MOST = 1.5, 0.5, 0.75
 _window = np.exp(-(np.arange(-4, 5) ** 2) / (2 * SIGMA**2))
 
 
-def is_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def is_apart(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """2 for what is never main text, 1 for what a class, id or role marks, else 0."""
     if tag in APART:
-        return True
+        return 2
+    marked = 0
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-            return True
+            return 2
         if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
             if any(part.lower() in MARKS for part in _parts.findall(value)):
-                return True
-    return False
+                marked = 1
+    return marked
 
 
 class Lines(HTMLParser):
     """``lines``: (text, tags, region, whether the region is an article or main element)."""
 
-    def __init__(self):
+    def __init__(self, plain: frozenset[int] = frozenset()):
+        """``plain``: numbers of elements whose marks say nothing; ``marked`` has the characters in each of the others."""
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        self.plain, self.marked, self.number, self.owner, self.kept = plain, {}, 0, 0, 0
+        self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.regions = 0
@@ -99,7 +104,13 @@ class Lines(HTMLParser):
         if tag in REGION and not main or tag in CONTAINER and not main:
             self.regions += 1
             region, main = self.regions, tag in REGION
-        self.stack.append((tag, apart or is_apart(tag, attrs), region, main))
+        self.number += 1
+        own = is_apart(tag, attrs) if apart < 2 else 0
+        if own == 1 and self.number in self.plain:
+            own = 0
+        if own == 1 and not apart:
+            self.owner = self.number
+        self.stack.append((tag, max(apart, own), region, main))
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -114,8 +125,12 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.stack[-1][1]:
+        apart = self.stack[-1][1]
+        if not apart:
             self.text.append(data)
+            self.kept += len(data.strip())
+        elif apart == 1:
+            self.marked[self.owner] = self.marked.get(self.owner, 0) + len(data.strip())
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
         self.close()
@@ -123,31 +138,45 @@ class Lines(HTMLParser):
         return self.lines
 
 
-def content_lines(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Which lines are above the threshold after smoothing."""
-    ratio = lengths / np.maximum(tags, 1)
+def content_lines(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are above the threshold after smoothing, and which of these are by themselves."""
     weight = np.convolve(np.ones(len(ratio)), _window, "full")[4:-4]
     smooth = np.convolve(ratio, _window, "full")[4:-4] / weight
-    return smooth >= min(smooth.max(), SPREAD * smooth.std())
+    least = min(smooth.max(), SPREAD * smooth.std())
+    return smooth >= least, (smooth >= least) & (ratio >= least)
+
+
+def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
+    plain: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(plain)
+        parser.feed(html)
+        lines = parser.finish()
+        total = parser.kept + sum(parser.marked.values())
+        more = [x for x, n in parser.marked.items() if n > MOST * total]
+        if not more:
+            return lines
+        plain |= frozenset(more)
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    lines = parser.finish()
+    lines = lines_of(html)
     if not lines:
         return ""
     lengths, tags = np.array([len(x[0]) for x in lines], float), np.array([x[1] for x in lines], float)
     regions = np.array([x[2] for x in lines])
-    mass = np.bincount(regions, lengths * content_lines(lengths, tags))
+    smooth, own = content_lines(lengths / np.maximum(tags, 1))
+    mass = np.bincount(regions, lengths * smooth)
     mains = np.zeros(len(mass), bool)
     mains[[x[2] for x in lines if x[3]]] = True
     if (mass[mains] > 0).any():  # an article or main element that is content leaves no doubt about what stands outside
-        mass[~mains] = 0
-    chosen = mass >= SHARE * mass.max()
-    return "\n".join(x[0] for x in lines if chosen[x[2]] and mass[x[2]] > 0)
+        chosen = mains & (mass > 0)
+    else:
+        chosen = np.bincount(regions, own, len(mass)) > 0
+        chosen[mass.argmax()] = True
+    return "\n".join(x[0] for x in lines if chosen[x[2]])
 
 
 def extract(pages: DataFrame) -> DataFrame:
