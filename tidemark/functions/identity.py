@@ -104,8 +104,8 @@ def path_of(module: Column | str) -> Column:
 
 
 def collapse(text: Column | str) -> Column:
-    """White space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(col(text), r"\s+", " "))
+    """Runs of Unicode white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(col(text), r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " "))
 
 
 def range4(items: Column | str) -> Column:
