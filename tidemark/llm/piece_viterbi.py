@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.tokens import MOST_UNITS, vocabulary
+from tidemark.llm.workers import held
 
 _word = re.compile(r"\n| *[^ \n]+| +")
 
 
 class Pieces:
-    _held: dict[str, Pieces] = {}
-
     def __init__(self, name: str):
         import sentencepiece
 
@@ -68,9 +67,7 @@ class Pieces:
 
     @classmethod
     def of(cls, name: str) -> Pieces:
-        if name not in cls._held:
-            cls._held[name] = cls(name)
-        return cls._held[name]
+        return held(f"pieces {name}", lambda: cls(name))
 
     def learn(self, words: list[str]) -> None:
         """Segment words; sorted, each goes on from the prefix it shares with the one before."""

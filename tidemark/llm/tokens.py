@@ -2,7 +2,8 @@
 
 A text falls apart, without change of its ids, before every run of white space that follows another character: neither
 pre-tokenizer of the public vocabularies joins characters across such a place. The resulting units (white space and the
-word after it) repeat, so a bounded dictionary holds their ids. Texts with unusual white space are encoded as a whole.
+word after it) repeat, so a bounded dictionary holds their ids. Texts with unusual white space, and texts that hold the
+string of one of the vocabulary's added tokens, are encoded as a whole by the library, which makes one id of such a string.
 
 A unit of plain Latin characters is cut here as the vocabulary's own pre-tokenizer cuts it (letters, digits, other), and
 only pieces that are new go to the library's model. Any other unit goes to the whole library.
@@ -16,6 +17,8 @@ import re
 import sys
 from array import array
 
+from tidemark.llm.workers import held
+
 #: Units, and pieces of them, held by a worker: some 60 MB each. A full dictionary starts anew, which changes speed and no result.
 MOST_UNITS = 350_000
 #: What these expressions cut alike in every Unicode version.
@@ -41,16 +44,14 @@ def vocabulary(name: str) -> str:
 
 def units(text: str) -> list[str]:
     if "\0" not in text and not any(c in text for c in _other):
-        found = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        if len(found) == len(text.split()):  # each run of white space is one space or line end, none at either end
-            return found
+        # Each run of white space is one space or line end, none at either end.
+        if text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n ")):
+            return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
     return [text] if _odd.search(text) else _unit.findall(text)
 
 
 class Encoder:
-    """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit integers, without special tokens; null is empty."""
-
-    _held: dict[str, Encoder] = {}
+    """``encode(texts)``: for each text the library's ids as little-endian unsigned 32-bit integers, nothing added; null is empty."""
 
     def __init__(self, name: str, most: int = MOST_UNITS):
         self.most = most
@@ -60,10 +61,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary(name))
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         spec = json.loads(self.library.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
         steps = [spec["pre_tokenizer"], *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         pattern = next((x["pattern"].get("Regex") for x in steps if x and x["type"] == "Split"), None)
         self.lower = spec["normalizer"] is not None
@@ -80,10 +81,9 @@ class Encoder:
 
     @classmethod
     def of(cls, name: str, most: int = MOST_UNITS) -> Encoder:
-        if name not in cls._held:
-            cls._held[name] = cls(name)
-        cls._held[name].most = most
-        return cls._held[name]
+        out = held(f"encoder {name}", lambda: cls(name))
+        out.most = most
+        return out
 
     def learn(self, missing: list[str]) -> None:
         if len(self.pieces) > self.most:
@@ -92,7 +92,7 @@ class Encoder:
         plain, lower, cut, piece = _plain.fullmatch, self.lower, self.cut, self._piece
         other = []
         for unit in missing:
-            if cut is None or not plain(unit):
+            if cut is None or not plain(unit) or "<|" in unit:
                 other.append(unit)
                 continue
             word = unit.lower().lstrip(" \n") if lower else unit
@@ -114,7 +114,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, some, size = [], [], 0
         for text in texts:
-            some.append(units(text) if text else [])
+            if not text:
+                some.append([])
+            elif any(t in text for t in self.added):
+                some.append([text])
+            else:
+                some.append(units(text))
             size += len(text or "")
             if size > 4_000_000:
                 out += self._encode(some)
