@@ -7,8 +7,9 @@ after the dictionary no text moves again. If an identifier is ambiguous (only a
 joins the key and the result is still exact.
 
 Nulls: a null text counts as empty, and all empty texts are equal. A null ``doc_id`` never names the row that stays unless
-all its group has none. Repeated rows (same id and text) are one document: both are marked alike. An empty table gives
-an empty result. Further columns are ignored by ``exact_dedup`` and kept by ``drop_copies``.
+all its group has none. Repeated rows (same id and text) are one document: both are marked alike, and ``drop_copies`` keeps
+one of them. Rows of one id with different texts are different documents. An empty table gives an empty result. Further
+columns are ignored by ``exact_dedup`` and kept by ``drop_copies``.
 """
 
 from __future__ import annotations
@@ -54,9 +55,22 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of equal text but the one with the largest ``doc_id``."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """``docs`` without the rows of equal text but the one with the largest ``doc_id``; of repeated rows, and of copies without an id, one stays.
+
+    A row goes by its id and text, so that another text of the same id is left alone.
+    """
+    digest = f"__digest_{'_'.join(docs.columns)}"  # no column of ``docs``
+    found = spill(exact_dedup(docs), "exact")
+    pair = [F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256")]
+    gone = spill(found.where("not kept").select(*pair).distinct(), "gone")
+    again = spill(found.where("kept AND group_size > 1").groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    own = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = lambda t: own["doc_id"].eqNullSafe(t["gone_id"]) & (own[digest] == t["gone_sha256"])
+    left = own.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left.drop(digest)
+    once = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", digest])
+    return left.join(again, same(again), "left_anti").unionByName(once).drop(digest)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
