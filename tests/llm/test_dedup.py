@@ -72,6 +72,54 @@ def test_drop_copies_keeps_columns(spark):
     assert {r["doc_id"] for r in out.collect()} == {4}
 
 
+TWICE = [(5, "unique text here"), (5, "shared words of a text"), (9, "shared words of a text"), (3, "other words"), (3, "other words"), (None, "other words"), (None, "alone"), (None, "alone"), (7, None), (7, "")]
+
+
+def test_drop_copies_goes_by_id_and_text(spark):
+    """One id with two texts, repeated rows, and copies without an id."""
+    out = rows(exact_dedup.drop_copies(frame(spark, TWICE)), "doc_id", "text")
+    empty = [r for r in out if r[0] == 7]
+    assert [r for r in out if r[0] != 7] == sorted([(5, "unique text here"), (9, "shared words of a text"), (3, "other words"), (None, "alone")], key=repr)
+    assert len(empty) == 1 and not empty[0][1]
+
+
+def test_drop_near_copies_goes_by_id_and_text(spark):
+    """Id 7 has a text of its own and one that id 3 has too; repeated rows of 8 are one document."""
+    own, shared, near = passage("o", 60), passage("s", 60), passage("s", 59) + " more"
+    texts = [(7, own), (7, near), (3, shared), (3, passage("t", 30)), (8, passage("u", 30)), (8, passage("u", 30)), (8, passage("v", 30)), (None, shared), (1, None), (2, " "), (4, "one"), (6, "one")]
+    docs = frame(spark, texts)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_classes(docs).collect()}
+    assert {(7, 56, 7, True), (7, 56, 3, False), (3, 56, 3, True), (3, 26, 3, True), (8, 26, 8, True), (6, 1, 4, False)} <= found
+    out = rows(near_dedup.drop_near_copies(docs), "doc_id", "text", "key")
+    assert out == sorted([(i, t, "k") for i, t in {*texts} - {(7, near), (6, "one")}], key=repr)
+
+
+def test_words_of_a_pattern_do_not_collide(spark):
+    """A text of one word, and its complement: polynomial hashes modulo a power of two take them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    got = near_dedup.near_classes(frame(spark, [(1, one), (2, other), (3, one.upper()), (4, one[:-1])]), k=2)
+    assert rows(got, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1), (4, 4)]
+
+
+def test_word_hashes_depend_on_the_bytes_only():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.words import bytes_of, word_hashes
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abAB éß\n\t") * rnd.choice([1, 1, 1, 9, 40]) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    hashes, firsts, starts, ends = word_hashes(*bytes_of(pa.array(["lead", *texts, None])))
+    by_word = {}
+    for i, t in enumerate(["lead", *texts, None]):
+        own = words(t)
+        assert len(own) == firsts[i + 1] - firsts[i]
+        for w, h in zip(own, hashes[firsts[i] : firsts[i + 1]].tolist(), strict=True):
+            assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word) and np.all(starts < ends)
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

@@ -1,6 +1,7 @@
 """The pipeline stage by stage, and its queries as registered."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -33,6 +34,25 @@ def test_stages_on_an_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_stages_on_rows_of_every_kind(spark):
+    """Nulls, repeated rows, one id with two texts, a very long text and columns with names that operators use: nothing crashes, clean rows stay."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("lang = 'en'").orderBy("doc_id").limit(60)
+    texts = [r["text"] for r in base.collect() if len(r["text"]) > 300]
+    english = max(texts, key=len)
+    long = " ".join(f"{w}{i}" for i in range(400) for w in english.split()[:100])
+    extra = [(1001, None), (None, None), (1002, ""), (1003, english), (1003, english), (1003, long), (None, english), (1004, "a")]
+    rows = [(i, t, "en" if t else None, None, len(t) if t else None) for i, t in extra]
+    names = {n: F.lit(1) for n in ("key", "seed", "pos", "id", "bucket", "component", "gone_id", "rows", "spans", "ids", "start")}
+    docs = base.unionByName(spark.createDataFrame(rows, base.schema)).withColumns(names)
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spill(stage(spark, docs, SF), "stage")
+        assert docs.columns == columns
+    left = docs.where("doc_id = 1003 AND text IS NOT NULL").collect()
+    assert len(left) <= 1 + (left != []) and sum(len(r["text"]) > 100_000 for r in left) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).where("length < 1").count() == 0
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) < set(names) and "pipeline" in names

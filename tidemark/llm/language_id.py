@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import remainder
+from tidemark.llm.workers import lean
 
 FEATURES = 1 << 15
 #: Rows to learn weights from, at most, over all languages.
@@ -144,7 +145,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     taken = F.coalesce(F.element_at(F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(share[c]))]), F.col("lang")), F.lit(0.0)) > draw
-    parts = known.select(F.col("doc_id").cast("long"), "text", "lang", taken.alias("taken")).mapInArrow(each, "place long, n long, id long, lang string, places binary, counts binary")
+    parts = known.select(F.col("doc_id").cast("long"), "text", "lang", taken.alias("taken")).mapInArrow(lean(each), "place long, n long, id long, lang string, places binary, counts binary")
     # A row for each place, and the sampled documents, whose number has a bound: one pass over the texts for both.
     key = F.when(F.col("place").isNull(), F.struct("id", "lang", "places", "counts"))
     got = parts.groupBy("place", key.alias("doc")).agg(F.sum("n").alias("n")).toArrow().to_pylist()
@@ -178,7 +179,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = (remainder("doc_id") == 1) & F.col("doc_id").isNotNull()
-    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(lean(each), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
@@ -186,11 +187,9 @@ def keep_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(text):
-        import pandas as pd
-
-        return pd.Series([(f := shared.value.predict(t))[0] != "und" and f[1] >= least for t in text], dtype="bool")
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        return pa.array([(f := shared.value.predict(t))[0] != "und" and f[1] >= least for t in text.to_pylist()], pa.bool_())
 
     return docs.where(known("text")) if model.languages else docs.limit(0)
 

@@ -1,7 +1,8 @@
 """Words and word shingles of whole texts as 64-bit hashes, vectorised over the bytes of an Arrow column.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z. Equal words have equal hashes; the
-hash is a polynomial modulo 2**64 with a fixed odd base, finished by a bit mixer.
+A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z. Equal words have equal hashes: a word's
+eight-byte parts are mixed each with a key of its place, and the sum is mixed again. Different words of up to eight bytes and
+the same length never collide, others with probability 2**-64, whatever their pattern.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LOWER = np.arange(256, dtype=np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: The first n of eight bytes, as a little-endian number.
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes worked on at once, unless one text is longer.
@@ -26,14 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.cumprod(np.full(256, BASE))
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(2 * n, BASE))
-    return _powers
+#: Multipliers of the words of a shingle.
+POWERS = np.cumprod(np.full(256, BASE))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +68,16 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), starts, ends
-    # A word starts where it is first, so a cumulative count gives the word of every byte.
-    place = np.arange(len(own)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
-    place[~inside] = 0
-    value = (LOWER[own] + np.uint64(1)) * powers(int((ends - starts).max()) + 1)[place]
-    value[~inside] = 0
-    return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, at), starts, ends
+    lengths = ends - starts
+    eight = np.ndarray(len(own), "<u8", np.concatenate([LOWER[own], np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from every place on
+    value = mix((eight[starts] & MASK[np.minimum(lengths, 8)]) ^ BASE) + lengths.astype(np.uint64) * BASE
+    if len(more := np.flatnonzero(lengths > 8)):
+        n = (lengths[more] - 1) // 8
+        first = np.cumsum(n) - n
+        k = np.arange(n.sum()) - np.repeat(first, n) + 1
+        part = eight[np.repeat(starts[more], n) + 8 * k] & MASK[np.minimum(np.repeat(lengths[more], n) - 8 * k, 8)]
+        value[more] += np.add.reduceat(mix(part ^ mix(k.astype(np.uint64) * BASE)), first)
+    return mix(value), np.searchsorted(starts, at), starts, ends
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -84,8 +85,8 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < k:
-        return mix(np.bitwise_xor.reduce(words * powers(256)[: len(words)], keepdims=True) + np.uint64(len(words)))
+        return mix(np.bitwise_xor.reduce(words * POWERS[: len(words)], keepdims=True) + np.uint64(len(words)))
     out = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
-        out += words[i : len(words) - k + 1 + i] * powers(256)[i]
+        out += words[i : len(words) - k + 1 + i] * POWERS[i]
     return mix(out + np.uint64(k))
