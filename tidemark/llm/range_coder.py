@@ -58,7 +58,8 @@ class Model:
     def find(self, place: np.ndarray) -> np.ndarray:
         """The id whose interval holds each place: from the first id of its cell, which has ``CELL`` ids at most, by halving."""
         if self.cells is None:
-            self.cells = np.searchsorted(self.below[: self.ids + 1], np.arange(0, self.total, CELL, dtype=np.int32), "right") - 1
+            starts = -(-self.below[: self.ids + 1] // CELL)  # the first cell that begins in or after an id's interval
+            self.cells = np.repeat(np.arange(self.ids), np.diff(starts))
         at, step = self.cells.take(place // CELL), CELL
         while step:
             at += (self.below.take(at + step) <= place) * step
