@@ -65,6 +65,8 @@ def test_manifest_conflict_and_environment_guard(spark):
         delta.manifest_entries(bad).collect()
     with pytest.raises(Exception, match="bad key"):
         delta.environment(spark.createDataFrame([(" ", "x")], "key string, value string")).collect()
+    with pytest.raises(ValueError, match="at least one"):
+        delta.environment(spark.createDataFrame([], "key string, value string"))
 
 
 def test_append_refuses(spark):
@@ -78,7 +80,7 @@ def test_append_refuses(spark):
     assert history.append(spark.createDataFrame([("3", "a", 7)], schema), past, known).where("attestation_id = '3'").first()["seq"] == 3
 
 
-@pytest.mark.parametrize("channels, trust", [([], "unobserved"), (["query_engine"], "complete"), (["query_engine", "declared"], "declared_only"), (["wrapper", "query_engine"], "partial"), (["none", "query_engine"], "unobserved")])
+@pytest.mark.parametrize("channels, trust", [([], "unobserved"), (["query_engine"], "complete"), (["query_engine", "declared"], "declared_only"), (["partially_captured", "query_engine"], "partial"), (["unobserved", "query_engine"], "unobserved"), (["fully_intercepted", "query_engine"], "complete"), (["bogus", "query_engine"], "unobserved"), ([None, "query_engine"], "unobserved")])
 def test_trust_is_the_weakest_channel(spark, channels, trust):
     df = spark.createDataFrame([(channels,)], "c array<string>")
     assert df.select(history.capture_trust("c")).first()[0] == trust

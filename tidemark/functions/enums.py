@@ -24,18 +24,19 @@ VALIDITY = ["VALID", "STALE", "UNKNOWN"]
 AUTHORITY = {"provisional": 0, "authoritative": 1}
 TRUST = {"unobserved": 0, "declared_only": 1, "partial": 2, "complete": 3}
 LEVELS = {"unverified": 0, "evidence_backed": 1, "structural": 2, "test": 3, "static": 4, "deterministic": 5}
-CHANNELS = {"none": "unobserved", "declared": "declared_only", "tool_log": "partial", "wrapper": "partial", "query_engine": "complete"}
+#: channel of a derivation: what it can attest to by itself
+CHANNELS = {"query_engine": "complete", "fully_intercepted": "complete", "partially_captured": "partial", "declared": "declared_only", "unobserved": "unobserved"}
 #: artifact kind: reuse class
 REUSE = {
-    "query_result": "A",
     "structural_set": "A",
-    "file_map": "B",
-    "test_result": "B",
-    "fact": "C",
-    "derived_fact": "C",
-    "summary": "D",
-    "hypothesis": "E",
-    "note": "F",
+    "observation": "A",
+    "fact": "B",
+    "derived_fact": "B",
+    "summary": "C",
+    "hypothesis": "D",
+    "plan": "E",
+    "execution_result": "F",
+    "patch": "F",
 }
 COVERAGE_STATES = ["established", "failed", "unproven"]
 

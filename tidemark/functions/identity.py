@@ -86,9 +86,9 @@ def set_digest(rows: DataFrame, *columns: str, tag: str) -> DataFrame:
 
 
 def normalize_path(path: Column | str) -> Column:
-    """A relative path with single ``/`` and without ``.``; null for absolute and empty paths and such with ``..``."""
-    parts = F.filter(F.split(F.regexp_replace(col(path), r"\\", "/"), "/"), lambda p: (p != "") & (p != "."))
-    bad = col(path).rlike(r"^[/\\]") | F.exists(parts, lambda p: p == "..") | (F.size(parts) == 0)
+    """A relative path with single ``/`` and without ``.``; null for absolute and empty paths and such with ``..``. A backslash is a character like others."""
+    parts = F.filter(F.split(col(path), "/"), lambda p: (p != "") & (p != "."))
+    bad = col(path).startswith("/") | F.exists(parts, lambda p: p == "..") | (F.size(parts) == 0)
     return F.when(~bad, F.array_join(parts, "/"))
 
 
@@ -123,7 +123,6 @@ def set_value(member: Column | str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(col(member))), "; ")
 
 
-def decode(value: Column | str, table: DataFrame | list[str], name: str) -> Column:
+def decode(value: Column | str, known: list[str], name: str) -> Column:
     """A member of a closed set as it is; anything else stops the query."""
-    known = table if isinstance(table, list) else [r[0] for r in table.collect()]
     return F.when(col(value).isin(known), col(value)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {name}: "), F.coalesce(col(value), F.lit("null")))))

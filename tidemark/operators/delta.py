@@ -24,7 +24,9 @@ def manifest_id(entries: DataFrame) -> DataFrame:
 
 
 def environment(declared: DataFrame) -> DataFrame:
-    """``declared(key, value)`` to ``(key, value_digest)``; values are dropped. Blank and repeated keys stop the query."""
+    """``declared(key, value)`` to ``(key, value_digest)``; values are dropped. Blank and repeated keys stop the query, and so does an empty declaration."""
+    if declared.isEmpty():
+        raise ValueError("an environment declares at least one input")
     checked = F.when((F.trim("key") != "") & (F.col("n") == 1), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("bad key: "), F.coalesce("key", F.lit("null")))))
     return declared.groupBy("key").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n")).select(checked.alias("key"), content_hash("value").alias("value_digest"))
 

@@ -44,9 +44,9 @@ def strongest(history: DataFrame) -> DataFrame:
 
 
 def capture_trust(channels: Column | str) -> Column:
-    """The weakest trust of an array of channels; without channels unobserved."""
+    """The weakest trust of an array of channels; without channels unobserved, and so is a channel that is not known."""
     c = F.col(channels) if isinstance(channels, str) else channels
-    rank = F.array_min(F.transform(c, lambda x: lookup(x, {k: TRUST[v] for k, v in CHANNELS.items()})))
+    rank = F.array_min(F.transform(c, lambda x: F.coalesce(lookup(x, {k: TRUST[v] for k, v in CHANNELS.items()}), F.lit(0))))
     return lookup(F.coalesce(rank, F.lit(0)), {v: k for k, v in TRUST.items()})
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.enums import KINDS, SCOPES, lookup
 from tidemark.functions.identity import US, content_hash, projection_id, set_value
+from tidemark.operators.semantic import resolve_symbols
 
 RELATIONS = ("references", "callers", "implementations", "subclasses")
 
@@ -41,18 +42,40 @@ def file(keys_: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.select("projection_id", F.when(F.col("subject").endswith(".py"), F.coalesce("digest", F.lit("absent"))).alias("value"))
 
 
-def _of_symbol(keys_: DataFrame, facts: DataFrame, value) -> DataFrame:
+LOCAL = ("definition", "signature", "imports")
+
+
+def anchored(keys_: DataFrame, units: DataFrame) -> DataFrame:
+    """``keys_`` with ``anchor``, the path that each view is evaluated against, and ``parsed``, whether its unit can be read.
+
+    ``units(module, path, status)``. A symbol belongs to the longest indexed module that is a proper prefix of it. A view of a
+    module or symbol without a unit has neither; a file is its own anchor, and all other views have none.
+    """
+    modules = units.select("module", F.col("path").alias("unit_path"), (F.col("status") == "parsed").alias("unit_parsed"))
+    symbols = resolve_symbols(keys_.where(F.col("kind").isin("definition", "signature")).select(F.col("subject").alias("symbol")), units)
+    names = symbols.select(F.col("symbol").alias("subject"), F.lit(True).alias("of_symbol"), "module")
+    named = keys_.withColumn("of_symbol", F.col("kind").isin("definition", "signature")).join(names, ["subject", "of_symbol"], "left")
+    named = named.withColumn("module", F.when(F.col("kind") == "imports", F.col("subject")).otherwise(F.col("module"))).join(modules, "module", "left")
+    anchor = F.when(F.col("kind") == "file", F.col("subject")).when(F.col("kind").isin(*LOCAL), F.col("unit_path"))
+    return named.select(*keys_.columns, anchor.alias("anchor"), F.coalesce("unit_parsed", F.lit(False)).alias("parsed"))
+
+
+def _readable(keys_: DataFrame, units: DataFrame | None) -> DataFrame:
+    return keys_.withColumn("parsed", F.lit(True)) if units is None else anchored(keys_, units)
+
+
+def _of_symbol(keys_: DataFrame, facts: DataFrame, value, units: DataFrame | None) -> DataFrame:
     first = facts.groupBy(F.col("symbol").alias("subject")).agg(F.min_by(value, F.struct("start_line", "start_column")).alias("found"))
-    return keys_.join(first, "subject", "left").select("projection_id", F.coalesce("found", F.lit("absent")).alias("value"))
+    return _readable(keys_, units).join(first, "subject", "left").select("projection_id", F.when(F.col("parsed"), F.coalesce("found", F.lit("absent"))).alias("value"))
 
 
-def definition(keys_: DataFrame, definitions: DataFrame) -> DataFrame:
-    """``kind@symbol`` of the first definition of a symbol."""
-    return _of_symbol(keys_, definitions, F.concat_ws("@", "kind", "symbol"))
+def definition(keys_: DataFrame, definitions: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """``kind@symbol`` of the first definition of a symbol. With ``units``, a symbol of a unit that is not there or does not parse is unobserved."""
+    return _of_symbol(keys_, definitions, F.concat_ws("@", "kind", "symbol"), units)
 
 
-def signature(keys_: DataFrame, definitions: DataFrame) -> DataFrame:
-    return _of_symbol(keys_, definitions.where("signature IS NOT NULL"), F.col("signature"))
+def signature(keys_: DataFrame, definitions: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    return _of_symbol(keys_, definitions.where("signature IS NOT NULL"), F.col("signature"), units)
 
 
 def relation(keys_: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -78,10 +101,15 @@ def relation_digest(keys_: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return keys_.join(found, "subject", "left").select("projection_id", F.coalesce("members", F.lit(0)).cast("long").alias("members"), F.coalesce("digest", empty).alias("digest"))
 
 
-def imports(keys_: DataFrame, imports_: DataFrame) -> DataFrame:
+def imports(keys_: DataFrame, imports_: DataFrame, units: DataFrame | None = None) -> DataFrame:
     line = F.concat("target", F.lit(" as "), "binding", F.lit(" ("), F.col("from_import").cast("string"), F.lit(")"))
     sets = imports_.groupBy(F.col("module").alias("subject")).agg(set_value(line).alias("found"))
-    return keys_.join(sets, "subject", "left").select("projection_id", F.coalesce("found", F.lit("")).alias("value"))
+    return _readable(keys_, units).join(sets, "subject", "left").select("projection_id", F.when(F.col("parsed"), F.coalesce("found", F.lit(""))).alias("value"))
+
+
+def unsupported(keys_: DataFrame, served: list[str]) -> DataFrame:
+    """``(projection_id, reason)`` of the views of kinds that no source serves: they are never answered by an empty set."""
+    return keys_.where(~F.col("kind").isin(served)).select("projection_id", F.concat(F.lit("no source serves "), "kind").alias("reason"))
 
 
 def repository_search(patterns: list[str], files: DataFrame) -> DataFrame:
@@ -103,7 +131,7 @@ def sensitive(kind) -> F.Column:
     return lookup(F.col(kind) if isinstance(kind, str) else kind, {k: v[3] for k, v in KINDS.items()})
 
 
-def evaluate(keys_: DataFrame, manifest=None, definitions=None, edges=None, imports_=None, fingerprint=None, files=None, patterns=()) -> DataFrame:
+def evaluate(keys_: DataFrame, manifest=None, definitions=None, edges=None, imports_=None, fingerprint=None, files=None, patterns=(), units=None) -> DataFrame:
     """All kinds of which the source is there; for the others the value is null, which is unobserved."""
 
     def of(kind):
@@ -118,13 +146,13 @@ def evaluate(keys_: DataFrame, manifest=None, definitions=None, edges=None, impo
     if manifest is not None:
         serve("file", file(of("file"), manifest))
     if definitions is not None:
-        serve("definition", definition(of("definition"), definitions))
-        serve("signature", signature(of("signature"), definitions))
+        serve("definition", definition(of("definition"), definitions, units))
+        serve("signature", signature(of("signature"), definitions, units))
     if edges is not None:
         for name in RELATIONS:
             serve(name, relation(of(name), edges, name))
     if imports_ is not None:
-        serve("imports", imports(of("imports"), imports_))
+        serve("imports", imports(of("imports"), imports_, units))
     if fingerprint is not None:
         for kind in ("config_value", "tool_version"):
             serve(kind, environment_value(of(kind), fingerprint))

@@ -85,8 +85,12 @@ def facts_of(module: str, path: str, source: str) -> Iterator[dict]:
 def index(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to facts; of two files of one module the package's ``__init__`` wins."""
     units = files.select("path", F.col("content").cast("string").alias("content"), module_of("path").alias("module")).where("module IS NOT NULL")
-    wins = units.groupBy("module").agg(F.max("path").alias("plain"), F.max(F.when(F.col("path").endswith("__init__.py"), F.col("path"))).alias("package"))
-    units = units.join(wins.select("module", F.coalesce("package", "plain").alias("path")), ["module", "path"], "left_semi")
+    # Ties are settled on paths; the few that lose go by a join that leaves the contents where they are read.
+    paths = units.select("module", "path")
+    wins = paths.groupBy("module").agg(F.max("path").alias("plain"), F.max(F.when(F.col("path").endswith("__init__.py"), F.col("path"))).alias("package"), F.count(F.lit(1)).alias("n"))
+    tied = wins.where("n > 1").select("module", F.coalesce("package", "plain").alias("winner"))
+    losers = paths.join(tied, "module").where("path <> winner").select("path")
+    units = units.join(losers, "path", "left_anti")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,7 +225,7 @@ def parse_projection_key(spark, sf):
     return projections.parse_key(w.table(spark, sf, "part").select(key.alias("key")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}','{p}','{v}','{s}',{enums.SCOPES[s]},{str(c).lower()})" for k, (p, v, s, c) in enums.KINDS.items()) + ") t(kind, property, variant, scope, scope_ordinal, completeness_sensitive)")
+@query("SELECT * FROM (VALUES ('file','content','file','file',0,false), ('definition','definition','symbol','repository',3,false), ('signature','signature','symbol','repository',3,false), ('references','references','symbol','repository',3,true), ('callers','callers','symbol','repository',3,true), ('implementations','implementations','symbol','repository',3,true), ('imports','imports','module','module',1,false), ('subclasses','subclasses','symbol','repository',3,true), ('repository_search','matches','text','repository',3,true), ('config_value','value','config_key','repository',3,false), ('tool_version','version','tool','repository',3,false)) t(kind, property, variant, scope, scope_ordinal, completeness_sensitive)")
 def projection_kinds(spark, sf):
     return enums.kinds(spark)
 
@@ -446,7 +449,7 @@ def pinned_digests(spark, sf):
     return transition.pins(evidence.select("artifact_id", F.lit(2).cast("long").alias("seq"), "evidence").unionByName(old), obs)
 
 
-@query("SELECT kind, failed, CASE WHEN NOT sensitive OR NOT failed THEN 'complete' ELSE 'unknown' END AS completeness FROM (VALUES " + ", ".join(f"('{k}',{str(v[3]).lower()})" for k, v in enums.KINDS.items()) + ") t(kind, sensitive), (VALUES (true),(false)) f(failed)")
+@query("SELECT kind, failed, CASE WHEN NOT sensitive OR NOT failed THEN 'complete' ELSE 'unknown' END AS completeness FROM (VALUES ('file',false), ('definition',false), ('signature',false), ('references',true), ('callers',true), ('implementations',true), ('imports',false), ('subclasses',true), ('repository_search',true), ('config_value',false), ('tool_version',false)) t(kind, sensitive), (VALUES (true),(false)) f(failed)")
 def completeness(spark, sf):
     whole = semantic.complete_certificate(enums.kinds(spark).select("kind"))
     both = whole.withColumn("failed", F.lit(False)).unionByName(semantic.with_failed_units(whole, ["users/broken.py"]).withColumn("failed", F.lit(True)))
@@ -492,10 +495,10 @@ def append_violations(spark, sf):
     return history.violations(a.drop("n"), a.where("n % 10 = 0").drop("n"), known)
 
 
-@query("SELECT user_id, CASE WHEN bool_or(event_id%4=0) THEN 'declared_only' ELSE 'partial' END AS trust FROM events GROUP BY 1")
+@query("SELECT user_id, CASE WHEN user_id%7=0 THEN 'unobserved' WHEN bool_or(event_id%4=0) THEN 'declared_only' WHEN bool_or(event_id%2=0) THEN 'partial' ELSE 'complete' END AS trust FROM events GROUP BY 1")
 def capture_trust(spark, sf):
     e = w.table(spark, sf, "events")
-    ch = F.array(F.lit("query_engine"), F.when(F.expr("event_id % 4 = 0"), "declared").otherwise("tool_log"))
+    ch = F.array(F.lit("query_engine"), F.when(F.expr("user_id % 7 = 0"), "nothing known").when(F.expr("event_id % 4 = 0"), "declared").when(F.expr("event_id % 2 = 0"), "partially_captured").otherwise("fully_intercepted"))
     return e.groupBy("user_id").agg(F.flatten(F.collect_set(ch)).alias("channels")).select("user_id", history.capture_trust("channels").alias("trust"))
 
 
@@ -504,7 +507,7 @@ def auto_reuse(spark, sf):
     return w.attestations(spark, sf).select("attestation_id", history.auto_reuse("validity", "authority", F.lit("partial")).alias("reusable"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}','{v}')" for k, v in enums.REUSE.items()) + ") t(kind, reuse_class)")
+@query("SELECT * FROM (VALUES ('structural_set','A'),('observation','A'),('fact','B'),('derived_fact','B'),('summary','C'),('hypothesis','D'),('plan','E'),('execution_result','F'),('patch','F')) t(kind, reuse_class)")
 def reuse_class(spark, sf):
     return spark.createDataFrame([(k,) for k in enums.REUSE], "kind string").select("kind", history.reuse_class("kind").alias("reuse_class"))
 
@@ -553,7 +556,7 @@ def range_normalize(spark, sf):
     return w.table(spark, sf, "part").select("p_partkey", ids.range4(r).alias("r")).select("p_partkey", "r.*")
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE NOT contains(text, chr(160))")
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS text FROM documents")
 def whitespace_collapse(spark, sf):
     return w.table(spark, sf, "documents").select("doc_id", ids.collapse("text").alias("text"))
 
@@ -573,7 +576,7 @@ def json_codec(spark, sf):
 # Measures
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (e=a) AS matches, count(*) FILTER (e<>'VALID' AND a='VALID') AS false_valid, count(*) FILTER (e<>'VALID') AS oracle_invalid, count(*) FILTER (e='STALE' AND a='STALE')/count(*) FILTER (e='STALE') AS stale_recall, count(*) FILTER (e<>'VALID' AND a<>'VALID')/count(*) FILTER (a<>'VALID') AS invalidation_precision, count(*) FILTER (e='UNKNOWN' AND a='UNKNOWN') AS abstention_matches FROM (SELECT validity AS e, CASE WHEN event_id%10=0 THEN 'VALID' ELSE validity END AS a FROM atts)")
+@query("SELECT count(*) AS rows, count(*) FILTER (e=a) AS matches, count(*) FILTER (e<>'VALID' AND a='VALID') AS false_valid, count(*) FILTER (e<>'VALID') AS oracle_invalid, count(*) FILTER (e<>'VALID' AND a<>'VALID')/count(*) FILTER (e<>'VALID') AS stale_recall, count(*) FILTER (e<>'VALID' AND a<>'VALID')/count(*) FILTER (a<>'VALID') AS invalidation_precision, count(*) FILTER (e='UNKNOWN' AND a='UNKNOWN') AS abstention_matches FROM (SELECT validity AS e, CASE WHEN event_id%10=0 THEN 'VALID' ELSE validity END AS a FROM atts)")
 def confusion_metrics(spark, sf):
     a = w.attestations(spark, sf)
     return measures.confusion(a.select(F.col("validity").alias("expected"), F.when(F.substring("attestation_id", 5, 20).cast("long") % 10 == 0, "VALID").otherwise(F.col("validity")).alias("actual")))
@@ -619,9 +622,9 @@ def task_breakdown(spark, sf):
     return measures.by_condition(_trials(spark, sf), "tokens")
 
 
-@query(f"SELECT trial, CAST(sum(tokens) FILTER (condition='B') - sum(tokens) FILTER (condition='A') AS BIGINT) AS delta FROM {TRIALS} GROUP BY 1 HAVING count(*) FILTER (condition='A')>0 AND count(*) FILTER (condition='B')>0")
+@query(f"SELECT trial, CAST(coalesce(sum(tokens) FILTER (condition='B'),0) - coalesce(sum(tokens) FILTER (condition='A'),0) AS BIGINT) AS delta FROM {TRIALS} WHERE trial%5<>0 OR condition='A' GROUP BY 1")
 def paired_delta(spark, sf):
-    return measures.paired_delta(_trials(spark, sf), "tokens")
+    return measures.paired_delta(_trials(spark, sf).where("trial % 5 <> 0 OR condition = 'A'"), "tokens")
 
 
 @query(f"WITH p AS (SELECT max(CAST(success AS INT)) FILTER (condition='A')=1 AS a, coalesce(max(CAST(success AS INT)) FILTER (condition='B'),0)=1 AS b FROM {TRIALS} GROUP BY trial, task HAVING count(*) FILTER (condition='A')>0) SELECT count(*) FILTER (a AND b) AS both_pass, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS both_fail FROM p")
@@ -634,10 +637,10 @@ def ledger_decumulation(spark, sf):
     return measures.decumulate(_trials(spark, sf), "tokens").select("trial", "condition", "task_rank", "tokens_own")
 
 
-@query("SELECT count(*) FILTER (event_id%3=0) AS avoided, count(*) FILTER (event_id%3<>0) AS served_fresh, count(*) FILTER (event_id%3=2) AS captured, CAST(sum(event_id) AS BIGINT) AS elapsed_us FROM events WHERE event_id%11<>0 AND event_id%5<>0")
+@query("SELECT count(*) FILTER (event_id%7%4=0) AS avoided, count(*) FILTER (event_id%7%4<>0) AS served_fresh, count(*) FILTER (event_id%7%4=2) AS captured, CAST(sum(event_id) AS BIGINT) AS elapsed_us FROM events WHERE event_id%11<>0 AND event_id%5<>0")
 def tool_ledger_counters(spark, sf):
     e = w.table(spark, sf, "events")
-    tag = F.element_at(F.array(F.lit("reuse"), F.lit("fresh"), F.lit("fresh+captured")), F.expr("CAST(event_id % 3 AS INT) + 1"))
+    tag = F.element_at(F.array(F.lit("reuse"), F.lit(None).cast("string"), F.lit("fresh+captured"), F.lit("unsupported")), F.expr("CAST(event_id % 7 % 4 AS INT) + 1"))
     line = F.to_json(F.struct(F.lit(1).alias("ts_ms"), F.when(F.expr("event_id % 5 = 0"), "publish").otherwise("tool").alias("op"), tag.alias("tag"), F.col("event_id").alias("elapsed_us")))
     return measures.tool_counters(e.select(F.when(F.expr("event_id % 11 = 0"), "{broken").otherwise(line).alias("line")))
 
@@ -647,13 +650,15 @@ def first_event_wins(spark, sf):
     return measures.first_events(w.table(spark, sf, "events").select(F.col("event_id").alias("line_no"), "event_id", "user_id"), "user_id").select("event_id", "user_id")
 
 
-@query("SELECT CASE WHEN count(*) FILTER (v)>=5 THEN false WHEN count(*)>=8 THEN false WHEN NOT max_by(v,n) THEN false ELSE true END AS go_on, CASE WHEN count(*) FILTER (v)>=5 THEN 'enough valid pairs' WHEN count(*)>=8 THEN 'attempts exhausted' WHEN NOT max_by(v,n) THEN 'last attempt invalid' ELSE 'continue' END AS reason FROM (SELECT n_nationkey AS n, n_nationkey%3<>1 AS v FROM nation WHERE n_nationkey<4)")
+@query("SELECT * FROM (VALUES ('few',true,'continue'),('invalid at the cap',false,'last attempt invalid'),('at the cap',false,'attempts exhausted'),('enough',false,'enough valid pairs')) t(which, go_on, reason)")
 def accrual_decision(spark, sf):
-    n = w.table(spark, sf, "nation").where("n_nationkey < 4")
-    return measures.accrual(n.select(F.col("n_nationkey").alias("n"), F.expr("n_nationkey % 3 <> 1").alias("valid")))
+    n = w.table(spark, sf, "nation").select(F.col("n_nationkey").alias("n"))
+    cases = {"few": (4, "n % 3 <> 1"), "invalid at the cap": (8, "n % 3 = 0"), "at the cap": (8, "n % 2 = 1"), "enough": (25, "n % 2 = 0")}
+    found = [measures.accrual(n.where(F.col("n") < most).withColumn("valid", F.expr(valid))).select(F.lit(name).alias("which"), "go_on", "reason") for name, (most, valid) in cases.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey%3=0 THEN 'gate failed before' WHEN n_nationkey%4=0 THEN 'gate failed after' ELSE 'valid' END AS health FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey%3=0 THEN 'PROVIDER_HEALTH_FAILED_BEFORE_PAIR' WHEN n_nationkey%4=0 THEN 'PROVIDER_HEALTH_FAILED_AFTER_PAIR' ELSE 'valid' END AS health FROM nation")
 def pair_health(spark, sf):
     return w.table(spark, sf, "nation").select("n_nationkey", measures.pair_health(F.expr("n_nationkey % 3 <> 0"), F.expr("n_nationkey % 4 <> 0")).alias("health"))
 
@@ -731,16 +736,132 @@ def pair_metric_diffs(spark, sf):
     return measures.pair_metric_diffs(rows, "tokens")
 
 
+NAMES = ["Read", "Grep", "Glob", "Bash", "Edit", "Write", "ToolSearch", "mcp__service__code_query", "mcp__service__status", "Other"]
+EVENTS = (
+    "WITH e AS (SELECT event_id AS line_no, CASE WHEN event_id%4=0 THEN 'message' ELSE 'tool' END AS kind, ['Read','Grep','Glob','Bash','Edit','Write','ToolSearch','mcp__service__code_query','mcp__service__status','Other'][CAST(event_id%10 AS INT)+1] AS name, CASE WHEN event_id%9<>0 THEN event_id//12 END AS id, user_id AS i FROM events), "
+    "m AS (SELECT * FROM e WHERE kind='message' AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no)=1), t AS (SELECT * FROM e WHERE kind='tool' AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no)=1) "
+)
+
+
 @query(
-    "WITH e AS (SELECT event_id AS line_no, ['message','read','search','shell','edit','query'][CAST(event_id%6 AS INT)+1] AS kind, event_id//12 AS id, user_id AS i FROM events), "
-    "m AS (SELECT * FROM e WHERE kind='message' QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no)=1), t AS (SELECT * FROM e WHERE kind<>'message' QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no)=1) "
-    "SELECT (SELECT count(*) FROM m) AS model_calls, (SELECT CAST(sum(i) AS BIGINT) FROM m) AS input_tokens, (SELECT CAST(sum(line_no) AS BIGINT) FROM m) AS output_tokens, count(*) AS tool_ops, count(*) FILTER (kind='read') AS read_ops, count(*) FILTER (kind='search') AS search_ops, count(*) FILTER (kind='shell') AS shell_ops, count(*) FILTER (kind='edit') AS edit_ops, count(*) FILTER (kind='query') AS query_ops FROM t"
+    EVENTS + "SELECT (SELECT count(*) FROM m) AS model_calls, (SELECT CAST(sum(i) AS BIGINT) FROM m) AS input_tokens, (SELECT CAST(sum(line_no) AS BIGINT) FROM m) AS output_tokens, (SELECT CAST(sum(2*i) AS BIGINT) FROM m) AS cached_read_tokens, (SELECT CAST(sum(3*i) AS BIGINT) FROM m) AS cached_write_tokens, "
+    "count(*) AS tool_ops, count(*) FILTER (name='Read') AS file_reads, count(*) FILTER (name IN ('Grep','Glob')) AS repo_searches, count(*) FILTER (name='Bash') AS shell_cmds, count(*) FILTER (name IN ('Edit','Write')) AS edits, count(*) FILTER (name='ToolSearch') AS tool_search_calls, "
+    "count(*) FILTER (name='mcp__service__code_query') AS code_query_calls, count(*) FILTER (name='mcp__service__status') AS ceremony_calls FROM t"
 )
 def event_counters(spark, sf):
-    e = w.table(spark, sf, "events")
-    kind = F.element_at(F.array(*map(F.lit, ["message", "read", "search", "shell", "edit", "query"])), F.expr("CAST(event_id % 6 AS INT) + 1"))
-    key = F.expr("event_id div 12")
-    return measures.event_counters(e.select(F.col("event_id").alias("line_no"), key.alias("message_id"), key.alias("tool_id"), kind.alias("kind"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens")))
+    """Lines without an id are skipped; of a message or call that is repeated the first line counts."""
+    i, key = F.col("user_id"), F.when(F.expr("event_id % 9 <> 0"), F.expr("event_id div 12"))
+    kind = F.when(F.expr("event_id % 4 = 0"), "message").otherwise("tool")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), F.expr("CAST(event_id % 10 AS INT) + 1"))
+    e = w.table(spark, sf, "events").select(F.col("event_id").alias("line_no"), key.alias("message_id"), key.alias("tool_id"), kind.alias("kind"), name.alias("name"), i.alias("input_tokens"), F.col("event_id").alias("output_tokens"), (2 * i).alias("cached_read_tokens"), (3 * i).alias("cached_write_tokens"))
+    return measures.event_counters(e)
+
+
+@query(
+    "SELECT CASE WHEN o_custkey%2=0 THEN 'A' ELSE 'B' END AS condition, CAST(sum(CASE WHEN o_orderkey%3<>0 THEN 1 ELSE 0 END) AS BIGINT) AS success_count, CAST(0 AS BIGINT) AS timeout_count, round(sum(o_custkey*0.5::DOUBLE),1) AS wall_time_s, CAST(sum(o_custkey) AS BIGINT) AS model_calls, "
+    "CAST(sum(o_orderkey) AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(sum(2*o_custkey)+sum(o_orderkey) AS BIGINT) AS provider_cached_tokens, CAST(sum(o_custkey%7) AS BIGINT) AS logical_tool_calls, CAST(sum(o_custkey%5) AS BIGINT) AS underlying_computations, "
+    "CAST(sum(o_custkey%3) AS BIGINT) AS avoided_computations, CAST(0 AS BIGINT) AS file_reads, CAST(0 AS BIGINT) AS repository_searches, CAST(0 AS BIGINT) AS shell_operations, CAST(0 AS BIGINT) AS automatic_captures, CAST(sum(o_custkey%3) AS BIGINT) AS valid_reuse, "
+    "CAST(NULL AS BIGINT) AS stale_withholding, CAST(NULL AS BIGINT) AS unknown_results, CAST(NULL AS BIGINT) AS false_valid_reuse, round(sum(o_custkey)/1e6,3) AS runtime_time_s, CAST(0 AS BIGINT) AS ceremony_calls, CAST(0 AS BIGINT) AS tool_search_calls FROM orders GROUP BY 1"
+)
+def condition_fields(spark, sf):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    rows = w.table(spark, sf, "orders").select(
+        F.when(c % 2 == 0, "A").otherwise("B").alias("condition"), (o % 3 != 0).cast("int").alias("success"), (c * 0.5).alias("wall_clock_s"), c.alias("model_calls"), o.alias("input_tokens"), (2 * c).alias("cached_read_tokens"),
+        o.alias("cached_write_tokens"), (c % 7).alias("code_query_calls"), (c % 5).alias("served_fresh"), (c % 3).alias("avoided"), c.alias("validation_us"),
+    )
+    return measures.condition_fields(rows)
+
+
+# Entries of the store, of identities and of a whole index
+
+
+def _scratch(spark) -> str:
+    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT 'sha256:'||sha256(text) AS blob_id, encode(text) AS content FROM documents WHERE text IS NOT NULL")
+def blob_put(spark, sf):
+    """Put twice, there once."""
+    kept, contents = store.Store(spark, _scratch(spark)), w.table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("text").alias("content"))
+    kept.put_blobs(contents)
+    kept.put_blobs(contents)
+    return kept.read("blobs")
+
+
+@query("SELECT attestation_id, artifact_id, seq FROM seqs")
+def store_scan(spark, sf):
+    """All attestations from the store in the order of artifact and sequence."""
+    kept = store.Store(spark, _scratch(spark))
+    none = [F.lit(None).cast("string").alias(n) for n in ("snapshot_id", "verifier")]
+    kept.put("attestations", _history(spark, sf).select("*", *none, F.array().cast("array<string>").alias("evidence")))
+    return kept.scan("attestations", "artifact_id", "seq").select("attestation_id", "artifact_id", "seq")
+
+
+@query(
+    "SELECT artifact_id, 'sha256:'||sha256(concat_ws(chr(31),'attestation.v1',artifact_id,'s1',CASE verdict WHEN 'holds' THEN 'VALID' WHEN 'fails' THEN 'STALE' ELSE 'UNKNOWN' END,CASE WHEN verdict='undecidable' THEN 'provisional' ELSE 'authoritative' END,"
+    "CASE WHEN verdict='undecidable' THEN 'unverified' ELSE 'structural' END,CASE WHEN verdict<>'undecidable' THEN 'sha256:'||sha256('verifier.v1'||chr(31)||contract) ELSE '~' END,'','1000')) AS attestation_id FROM decided"
+)
+def attestation_identity(spark, sf):
+    none, past = spark.createDataFrame([], "artifact_id string, evidence array<string>"), spark.createDataFrame([], "attestation_id string")
+    return transition.attest(_decided(spark, sf), none, "s1", 1000, past).select("artifact_id", "attestation_id")
+
+
+@query("SELECT subject, 'no source serves callers' AS reason FROM keys")
+def unsupported_views(spark, sf):
+    """Relations that syntax alone does not serve have no value, not an empty one, and say why."""
+    k = w.keys(spark, sf, "callers")
+    served = projections.evaluate(k, definitions=w.definitions(spark, sf))
+    return projections.unsupported(k, ["file", "definition", "signature", "imports"]).join(served.where("value IS NULL"), "projection_id").join(k, "projection_id").select("subject", "reason")
+
+
+@query("SELECT kind, subject, CASE WHEN k%50=0 OR subject LIKE 'nowhere%' THEN NULL WHEN kind='signature' AND subject LIKE '%.gone' THEN 'absent' WHEN kind='signature' THEN '(a, /, b)' ELSE '.base.Thing'||k||' as Thing'||k||' (true); os.path as p'||k||' (false)' END AS value, CASE WHEN subject NOT LIKE 'nowhere%' THEN 'src/m'||k||'.py' END AS anchor FROM (SELECT p_partkey AS k, unnest([{'kind':'signature','subject':'src.m'||p_partkey||'.f'||p_partkey},{'kind':'signature','subject':'src.m'||p_partkey||'.gone'},{'kind':'signature','subject':'nowhere.f'||p_partkey},{'kind':'imports','subject':'src.m'||p_partkey}], recursive := true) FROM part)")
+def views_of_units(spark, sf):
+    """Signatures and imports with their anchors; a unit that does not parse or is not there leaves a view unobserved, never absent."""
+    s = _sources(spark, sf)
+    facts, n = syntax.index(s), _s("p_partkey")
+    p = w.table(spark, sf, "part")
+    names = [F.concat(F.lit("src.m"), n, F.lit(".f"), n), F.concat(F.lit("src.m"), n, F.lit(".gone")), F.concat(F.lit("nowhere.f"), n)]
+    k = projections.keys(p.select(F.explode(F.array(*names)).alias("subject")), "signature").unionByName(projections.keys(p.select(F.concat(F.lit("src.m"), n).alias("subject")), "imports"))
+    u = syntax.units(facts)
+    found = projections.evaluate(k, definitions=syntax.definitions(facts), imports_=syntax.imports(facts), units=u)
+    return projections.anchored(k, u).join(found, "projection_id").select("kind", "subject", "value", "anchor")
+
+
+@query("SELECT p_partkey, array_to_string(list_sort([p_brand, p_type, p_name]), chr(31)) AS fields, p_brand AS brand, replace('pkg.m'||p_partkey,'.','/')||'.py' AS path FROM part")
+def canonical_fields(spark, sf):
+    p = w.table(spark, sf, "part")
+    brands = [r[0] for r in p.select("p_brand").distinct().limit(100).collect()]  # a closed set
+    return p.select("p_partkey", ids.sorted_fields(F.array("p_brand", "p_type", "p_name")).alias("fields"), ids.decode("p_brand", brands, "brand").alias("brand"), ids.path_of(F.concat(F.lit("pkg.m"), _s("p_partkey"))).alias("path"))
+
+
+def _index(spark, sf) -> DataFrame:
+    """An index of one document a supplier: a function that is defined there and uses two names of others, and a class with a base."""
+    n = _s("s_suppkey")
+    name = lambda path, rest: F.concat(F.lit("scheme pip app 1.0.0 `"), path, F.lit(f".py`/{rest}"))
+    own, cls = F.concat(F.lit("m"), n), F.concat(F.lit("m"), n)
+    target = name(F.concat(F.lit("t"), F.expr("CAST(s_suppkey % 7 AS STRING)")), "g().")
+    base = name(F.lit("base"), "B#")
+    relation = F.struct(base.alias("symbol"), F.lit(True).alias("is_implementation"), F.lit(False).alias("is_type_definition"))
+    symbols = F.array(F.struct(name(own, "f().").alias("symbol"), F.array().cast("array<struct<symbol: string, is_implementation: boolean, is_type_definition: boolean>>").alias("relationships")), F.struct(name(cls, "C#").alias("symbol"), F.array(relation).alias("relationships")))
+    at = lambda symbol, role, *r: F.struct(symbol.alias("symbol"), F.lit(role).alias("symbol_roles"), F.array(*map(F.lit, r)).alias("range"))
+    occurrences = F.array(at(name(own, "f()."), 1, 1, 0, 4, 9), at(target, 0, 2, 4, 9), at(base, 0, 8, 4, 9))
+    language = F.when(F.expr("s_suppkey % 5 = 0"), "rust").otherwise("Python")
+    return w.table(spark, sf, "supplier").select(language.alias("language"), F.concat(own, F.lit(".py")).alias("relative_path"), symbols.alias("symbols"), occurrences.alias("occurrences"))
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey%5<>0) SELECT r AS relation, 't'||n%7||'.g' AS subject, 'm'||n||'.f' AS member FROM s, (VALUES ('callers'),('references')) t(r) "
+    "UNION ALL SELECT r, 'base.B', 'm'||n FROM s, (VALUES ('callers'),('references')) t(r) UNION ALL SELECT 'implementations', 'base.B', 'm'||n||'.C' FROM s"
+)
+def index_ingest(spark, sf):
+    return semantic.ingest(_index(spark, sf))["edges"]
+
+
+@query("SELECT count(*) FILTER (s_suppkey%5<>0) AS ingested, count(*) FILTER (s_suppkey%5=0) AS non_python, CAST(2*count(*) FILTER (s_suppkey%5<>0) AS BIGINT) AS references_seen, CAST(count(*) FILTER (s_suppkey%5<>0) AS BIGINT) AS relationships_seen FROM supplier")
+def index_accounting(spark, sf):
+    return semantic.ingest(_index(spark, sf))["report"]
 
 
 @query("SELECT p_partkey, 0.5*p_size > 3 + p_partkey%5 + 1 + 1 AS stored FROM part")

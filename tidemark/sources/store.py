@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +34,32 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         meta = f"{self.folder}/_meta"
-        try:
+        if self.exists("_meta"):
             found = spark.read.schema("version int").json(meta).first()
-        except AnalysisException:
+        else:
             spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.json(meta)
             found = (VERSION,)
         if not found or found[0] != VERSION:
             raise ValueError(f"store version {found and found[0]}, this is {VERSION}")
 
+    def exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
     def read(self, table: str) -> DataFrame:
-        try:
+        """A table; one that was never written is empty, and one that cannot be read stops the query."""
+        if self.exists(table):
             return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.folder}/{table}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.createDataFrame([], SCHEMAS[table])
+
+    def scan(self, table: str, *order: str) -> DataFrame:
+        """A whole table in the order of ``order``, by default its key: ranges of it are sorted side by side."""
+        return self.read(table).orderBy(*(order or KEYS[table]))
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """``ids(blob_id)`` with ``there``."""
+        known = self.read("blobs").select("blob_id", F.lit(True).alias("there"))
+        return ids.join(known, "blob_id", "left").withColumn("there", F.coalesce("there", F.lit(False)))
 
     def put(self, table: str, rows: DataFrame) -> None:
         """Append the rows whose key the table does not hold yet; tables without a key take all. Staged first, so the rows are read before the table grows."""
