@@ -181,6 +181,36 @@ def test_service_round_trip_stale_and_republish(spark, tmp_path):
     assert service.retrieve("k")["value"] == "api.handle; auth.service.login"
 
 
+def test_service_looks_again_at_every_kind_of_view(spark, tmp_path):
+    """Modify, add, break and remove a file: never a result that is valid when it should not be."""
+    root = str(tmp_path / "repo")
+    write(root, "m.py", "import os\n\ndef f(a):\n    return a\n\ndef g():\n    pass\n")
+    write(root, "n.py", "def h():\n    pass\n")
+    service = Service(spark, root, Store(spark, str(tmp_path / "store")))
+    service.init()
+    for key, kind, subject in (("sig", "signature", "m.f"), ("def", "definition", "m.g")):
+        service.publish(key, kind, subject)
+    service.publish("note", "note", "what m and n hold", [("imports", "m"), ("file", "n.py"), ("callers", "m.f")])
+    with pytest.raises(ValueError, match="cannot be observed"):
+        service.publish("x", "signature", "nowhere.f")
+    assert service.store.read("bindings").count() == 1 and service.store.read("derivations").where("capture_trust = 'complete'").count() == 2
+    assert {r["anchor"] for r in service.store.read("observations").collect()} == {"m.py", "n.py", None}
+
+    write(root, "m.py", "import os, sys\n\ndef f(a, b):\n    return a\n\ndef g():\n    pass\n")
+    assert service.status() == {"changed": 1, "artifacts": {"sig": "STALE", "def": "VALID", "note": "STALE"}}
+    assert service.retrieve("sig")["verdict"] == "stale"
+
+    write(root, "m.py", "def f(a\n")  # no longer parses: not absent, and nothing is known
+    assert service.status()["artifacts"]["def"] == "VALID"  # what cannot be observed takes nothing back
+    assert service.retrieve("def")["verdict"] == "unknown"  # but nothing is served
+
+    write(root, "m.py", "import os\n\ndef f(a):\n    return a\n")
+    os.remove(os.path.join(root, "n.py"))
+    # The signature is pinned to what it last was, and differs from that again.
+    assert service.status()["artifacts"] == {"sig": "STALE", "def": "STALE", "note": "STALE"}
+    assert service.store.read("bindings").count() == 4  # bound anew under each universe and tree
+
+
 def test_store_is_idempotent_and_fails_closed(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     blob = spark.createDataFrame([("x",), ("x",)], "content string")

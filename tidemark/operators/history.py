@@ -25,12 +25,17 @@ def sequence(new: DataFrame, history: DataFrame) -> DataFrame:
     return new.join(last, "artifact_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)).cast("long") + order).drop("last_seq")
 
 
-def append(new: DataFrame, history: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The history with ``new`` behind it; any violation stops it before a row is added."""
+def admitted(new: DataFrame, history: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``new`` with its sequence numbers, to be put behind ``history``; any violation stops it before a row is added."""
     bad = violations(new, history, artifacts).limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0]['attestation_id']}: {bad[0]['reason']}")
-    return history.unionByName(sequence(new, history).select(*history.columns))
+    return sequence(new, history)
+
+
+def append(new: DataFrame, history: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The history with ``new`` behind it."""
+    return history.unionByName(admitted(new, history, artifacts).select(*history.columns))
 
 
 def latest_validity(history: DataFrame) -> DataFrame:

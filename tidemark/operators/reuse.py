@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.enums import KINDS, SCOPES
-from tidemark.functions.identity import content_hash, identity, observation_id, projection_id, snapshot_id, verifier_id
-from tidemark.operators import delta, history, projections, syntax, transition
+from tidemark.functions.identity import attestation_id, certificate_digest, content_hash, identity, observation_id, projection_id, snapshot_id, verifier_id
+from tidemark.operators import delta, history, projections, semantic, syntax, transition
 from tidemark.sources import tree
 from tidemark.sources.store import Store
 
@@ -35,12 +35,20 @@ def tool(requests: DataFrame, cached: DataFrame, fresh: DataFrame, baseline: boo
     return joined.withColumn("served_from", served).withColumn("value", F.when(hit, F.col("cached")).otherwise(F.col("value"))).drop("cached", "pinned")
 
 
+#: Who answers for the sets of callers and references.
+INDEXER = ("textual", "line scan", "1")
+
+
 class Service:
     """init, status, publish, retrieve, query and tool over a folder of sources and a store.
 
     Every call reconciles first and runs the transition, publish too, so that a delta is never consumed without its
-    results being looked at. Callers come from the approximate line scan, whose references are unproven: what only they
-    support is not authoritative unless ``trust_scan``.
+    results being looked at. A view is observed with its anchor, the path that it was evaluated against, so that a change of that
+    path selects it again; a view whose unit does not parse or is not there is unobserved. Views that need a complete
+    universe are bound to the universe, the certificate and the indexer they were evaluated under, and looked at again
+    when one of these is another. Callers come from the approximate line scan, which covers every file it is given: what
+    only it supports is not authoritative unless ``trust_scan``. What a result may be trusted with comes from the channels
+    of its derivation.
     """
 
     def __init__(self, spark: SparkSession, root: str, store: Store, trust_scan: bool = True):
@@ -61,9 +69,25 @@ class Service:
         facts = syntax.index(files)
         edges = syntax.approximate_calls(files)
         both = edges.select(F.lit("callers").alias("relation"), "subject", "member").unionByName(edges.select(F.lit("references").alias("relation"), "subject", "member"))
-        found = projections.evaluate(keys, delta.manifest(files), syntax.definitions(facts), both, syntax.imports(facts))
-        scanned = F.col("kind").isin("callers", "references")
-        return found.join(keys.select("projection_id", "kind"), "projection_id").select("projection_id", "value", (~scanned | F.lit(self.trust_scan)).alias("authoritative"))
+        units = syntax.units(facts)
+        found = projections.evaluate(keys, delta.manifest(files), syntax.definitions(facts), both, syntax.imports(facts), units=units)
+        scanned, local = F.col("kind").isin("callers", "references"), F.col("kind").isin("file", *projections.LOCAL)
+        known = projections.anchored(keys.select("projection_id", "kind", "subject"), units).select("projection_id", "kind", "anchor")
+        lost = F.raise_error(F.concat(F.lit("a view without an anchor: "), "projection_id"))
+        value = F.when(local & F.col("value").isNotNull() & F.col("anchor").isNull(), lost).otherwise(F.col("value"))
+        return found.join(known, "projection_id").select("projection_id", value.alias("value"), (~scanned | F.lit(self.trust_scan)).alias("authoritative"), "anchor")
+
+    def _context(self, entries: DataFrame) -> DataFrame:
+        """One row: the digests of universe and certificate, and the indexer, that views are bound to."""
+        universe = semantic.universe_digest(entries.select("path")).select(F.col("digest").alias("universe_digest"))
+        whole = semantic.complete_certificate(universe)
+        names = ["universe_complete", "all_units_participated", "declaration_inventory_complete", "resolved_reference_coverage", "inheritance_relationships", "failures"]
+        return self._hold(whole.select("universe_digest", certificate_digest(*names).alias("coverage_digest"), semantic.indexer_identity(*map(F.lit, INDEXER)).alias("indexer"), semantic.completeness(F.lit("callers")).alias("completeness")))
+
+    def _bind(self, views: DataFrame, context: DataFrame, snapshot: str, now: int) -> None:
+        """``views(projection_id, kind)`` that need a complete universe are bound to what they were evaluated under."""
+        bound = views.where(projections.sensitive("kind")).select("projection_id").distinct().join(F.broadcast(context))  # one row
+        self.store.put("bindings", bound.select("*", F.lit(snapshot).alias("snapshot_id"), F.lit(now).cast("long").alias("seq")))
 
     def _key(self, kind: str, subject: str) -> DataFrame:
         prop, variant, scope, _ = KINDS[kind]
@@ -71,8 +95,8 @@ class Service:
         return row.select(projection_id("kind", F.lit(variant), "subject", F.lit(prop), F.lit(SCOPES[scope])).alias("projection_id"), "kind", "subject", "scope")
 
     def _now(self) -> int:
-        last = self.store.read("snapshots").agg(F.max("created_at")).first()[0] or 0
-        self.clock = max(self.clock, last) + 1000
+        last = [self.store.read(table).agg(F.max("created_at")).first()[0] or 0 for table in ("snapshots", "attestations")]
+        self.clock = max(self.clock, *last) + 1000
         return self.clock
 
     def _head(self) -> tuple[str, str] | None:
@@ -94,65 +118,80 @@ class Service:
         changes = self._hold(delta.reconcile(old, entries))
         n = changes.count()
         if head and n:
-            self._transition(changes, snapshot, now)
+            self._transition(changes, entries, snapshot, now)
         self.store.put("manifests", entries.select(F.lit(manifest).alias("manifest_id"), "path", "digest"))
         self.store.put("snapshots", row.select("*", F.lit("local").alias("repository_id"), F.lit(None).cast("string").alias("semantic_snapshot")))
         return snapshot, n
 
-    def _transition(self, changes: DataFrame, snapshot: str, now: int) -> None:
+    def _transition(self, changes: DataFrame, entries: DataFrame, snapshot: str, now: int) -> None:
         observed = self._hold(self.store.recorded())
-        views = observed.groupBy("projection_id").agg(F.max_by(F.struct("kind", "subject", "scope", "anchor"), "seq").alias("v")).select("projection_id", "v.*")
-        touched = self._hold(delta.candidates(changes, views))
-        evaluated = self._evaluate(touched)
+        views = self._hold(observed.groupBy("projection_id").agg(F.max_by(F.struct("kind", "subject", "scope", "anchor"), "seq").alias("v")).select("projection_id", "v.*"))
+        context, bindings = self._context(entries), history.current_bindings(self.store.read("bindings"))
+        under = context.first()
+        forced = delta.forced(views.where(projections.sensitive("kind")), bindings, under["universe_digest"], under["coverage_digest"], under["indexer"])
+        touched = self._hold(delta.candidates(changes, views).unionByName(forced).dropDuplicates(["projection_id"]))
+        evaluated = self._hold(self._evaluate(touched))
         prior = observed.select("projection_id", F.col("value_digest").alias("digest"), "seq")
-        outcome = self._hold(transition.outcomes(touched, evaluated, prior))
+        standing = touched.where(projections.sensitive("kind")).select("projection_id", F.lit(under["completeness"]).alias("completeness"))
+        standing = standing.join(bindings.select("projection_id", F.col("completeness").alias("bound")), "projection_id", "left")
+        outcome = self._hold(transition.outcomes(touched, evaluated.drop("anchor"), prior, standing))
+        self._bind(touched.join(outcome.where("value IS NOT NULL"), "projection_id", "left_semi"), context, snapshot, now)
         changed = outcome.where("outcome = 'changed'")
         past = self.store.read("attestations")
         pinned = transition.pins(past, observed.select("observation_id", "projection_id", F.col("value_digest").alias("digest")))
         edges = self.store.read("artifact_dependencies")
         decided = transition.verdicts(changed, edges, pinned, self.store.read("artifacts"))
-        new = changed.where("value IS NOT NULL").join(touched, "projection_id")
-        rows = new.select("projection_id", "kind", "subject", "scope", F.lit(snapshot).alias("snapshot_id"), F.col("digest").alias("value_digest"), F.col("value").alias("canonical_value"), "anchor", F.lit(now).cast("long").alias("seq"))
+        # What was evaluated is observed anew, changed or not, with the anchor it has now.
+        new = outcome.where("value IS NOT NULL").join(touched.drop("anchor"), "projection_id").join(evaluated.select("projection_id", "anchor"), "projection_id")
+        rows = new.select("outcome", "projection_id", "kind", "subject", "scope", F.lit(snapshot).alias("snapshot_id"), F.col("digest").alias("value_digest"), F.col("value").alias("canonical_value"), "anchor", F.lit(now).cast("long").alias("seq"))
         rows = rows.withColumn("observation_id", observation_id("projection_id", "value_digest", "snapshot_id"))
         # Evidence: the new observation of what changed, and the last pinned one of what did not.
         last = transition.latest(past).select("artifact_id", F.posexplode("evidence").alias("pos", "observation_id")).join(observed.select("observation_id", "projection_id"), "observation_id")
-        fresh = edges.join(rows.select("projection_id", F.col("observation_id").alias("fresh")), "projection_id")
+        fresh = edges.join(rows.where("outcome = 'changed'").select("projection_id", F.col("observation_id").alias("fresh")), "projection_id")
         kept = last.join(fresh.select("artifact_id", "projection_id"), ["artifact_id", "projection_id"], "left_anti").select("artifact_id", "observation_id")
         evidence = kept.unionByName(fresh.select("artifact_id", F.col("fresh").alias("observation_id"))).groupBy("artifact_id").agg(F.array_sort(F.collect_list("observation_id")).alias("evidence"))
-        attested = transition.attest(decided, evidence, snapshot, now, past)
+        attested = self._hold(transition.attest(decided, evidence, snapshot, now, past))
+        appended = self._hold(history.admitted(attested, past, self.store.read("artifacts")))
         self.store.put("observations", rows)
-        self.store.put("attestations", history.sequence(attested, past))
+        self.store.put("attestations", appended)
 
     def init(self) -> dict:
         snapshot, n = self.reconcile()
         return {"files_indexed": self._files().count(), "snapshot": snapshot}
 
     def publish(self, key: str, kind: str, value: str, subjects: list[tuple[str, str]] | None = None) -> dict:
-        """Store a result under a key with the views it rests on: by default the one view (kind, value's subject)."""
+        """Store a result under a key with the views it rests on: by default the one view (kind, value's subject). A view that cannot be observed stops it."""
         snapshot, _ = self.reconcile()
         now = self._now()
         views = [(kind, value)] if subjects is None else subjects
         keys = self._key(*views[0])
         for v in views[1:]:
             keys = keys.unionByName(self._key(*v))
-        seen = self._hold(self._evaluate(keys).join(keys, "projection_id").where("value IS NOT NULL"))
+        seen = self._hold(self._evaluate(keys).join(keys, "projection_id"))
+        if unseen := seen.where("value IS NULL").limit(1).collect():
+            raise ValueError(f"{unseen[0]['kind']}({unseen[0]['subject']}) cannot be observed")
         payload = seen.orderBy("kind", "subject").agg(F.array_join(F.collect_list("value"), "\n")).first()[0] if subjects is None else value
         artifact = f"{key}@{now}"
-        rows = seen.select("projection_id", "kind", "subject", "scope", F.lit(snapshot).alias("snapshot_id"), content_hash("value").alias("value_digest"), F.col("value").alias("canonical_value"), F.when(F.col("kind") == "file", F.col("subject")).alias("anchor"), F.lit(now).cast("long").alias("seq"))
+        rows = seen.select("projection_id", "kind", "subject", "scope", F.lit(snapshot).alias("snapshot_id"), content_hash("value").alias("value_digest"), F.col("value").alias("canonical_value"), "anchor", F.lit(now).cast("long").alias("seq"))
         rows = self._hold(rows.withColumn("observation_id", observation_id("projection_id", "value_digest", "snapshot_id")))
         blob = self.spark.createDataFrame([(payload,)], "content string")
         self.store.put_blobs(blob)
         self.store.put("observations", rows)
         ref = blob.select(content_hash("content")).first()[0]
-        one = self.spark.createDataFrame([(artifact, "structural_set", transition.SET_EQUALITY, ref, snapshot, 1, now)], "artifact_id string, kind string, contract string, payload_ref string, created_snapshot string, schema_version int, created_at long")
-        for name in ("proposition", "derivation_id"):
-            one = one.withColumn(name, F.lit(None).cast("string"))
-        self.store.put("artifacts", one.withColumn("cost", F.lit(None)))
+        made = "structural_set" if all(KINDS[k][3] for k, _ in views) else "observation" if subjects is None else "summary"
+        one = self.spark.createDataFrame([(artifact, made, transition.SET_EQUALITY, ref, snapshot, 1, now)], "artifact_id string, kind string, contract string, payload_ref string, created_snapshot string, schema_version int, created_at long")
+        one = self._hold(one.withColumn("derivation_id", identity("derivation.v1", F.lit(key), F.lit(now))))
+        derived = one.select("derivation_id", F.array(F.lit("query_engine" if subjects is None else "declared")).alias("channels"), "created_at")
+        producer = F.struct(F.lit("service").alias("harness"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("model"))
+        self.store.put("derivations", derived.select("*", history.capture_trust("channels").alias("capture_trust"), producer.alias("producer")))
+        self.store.put("artifacts", one.select("*", F.lit(None).cast("string").alias("proposition"), F.lit(None).alias("cost")))
+        self._bind(seen, self._context(self.store.read("manifests").where(F.col("manifest_id") == self._head()[1])), snapshot, now)
         self.store.put("artifact_dependencies", rows.select(F.lit(artifact).alias("artifact_id"), "projection_id", F.lit(0).alias("position")))
         authoritative = seen.agg(F.bool_and("authoritative")).first()[0]
         evidence = rows.agg(F.array_sort(F.collect_list("observation_id")).alias("evidence"))
-        a = evidence.select(F.lit(artifact).alias("artifact_id"), F.lit(snapshot).alias("snapshot_id"), F.lit("VALID").alias("validity"), F.lit("authoritative" if authoritative else "provisional").alias("authority"), F.lit("structural").alias("level"), verifier_id(F.lit(transition.SET_EQUALITY)).alias("verifier"), "evidence", F.lit(now).cast("long").alias("created_at"), F.lit(1).cast("long").alias("seq"))
-        self.store.put("attestations", a.withColumn("attestation_id", identity("attestation.v1", "artifact_id", "snapshot_id", "validity", "created_at")))
+        a = evidence.select(F.lit(artifact).alias("artifact_id"), F.lit(snapshot).alias("snapshot_id"), F.lit("VALID").alias("validity"), F.lit("authoritative" if authoritative else "provisional").alias("authority"), F.lit("structural").alias("level"), verifier_id(F.lit(transition.SET_EQUALITY)).alias("verifier"), "evidence", F.lit(now).cast("long").alias("created_at"))
+        a = self._hold(a.withColumn("attestation_id", attestation_id("artifact_id", "snapshot_id", "validity", "authority", "level", "verifier", F.array_join("evidence", ","), "created_at")))
+        self.store.put("attestations", history.admitted(a, self.store.read("attestations"), self.store.read("artifacts")))
         self.store.put("registry", self.spark.createDataFrame([(key, artifact, kind, now)], "key string, artifact_id string, kind string, created_at long"))
         self.log("publish", key, value, "published")
         return {"artifact": artifact, "value": payload}
@@ -160,7 +199,8 @@ class Service:
     def _standing(self) -> DataFrame:
         registry = self.store.read("registry").groupBy("key").agg(F.max_by("artifact_id", "created_at").alias("artifact_id"))
         last = transition.latest(self.store.read("attestations")).select("artifact_id", "validity", "authority")
-        return registry.join(last, "artifact_id").withColumn("trust", F.lit("complete"))
+        made = self.store.read("artifacts").select("artifact_id", "derivation_id").join(self.store.read("derivations").select("derivation_id", F.col("capture_trust").alias("trust")), "derivation_id", "left")
+        return registry.join(last, "artifact_id").join(made.select("artifact_id", F.coalesce("trust", F.lit("unobserved")).alias("trust")), "artifact_id", "left")
 
     def status(self) -> dict:
         _, n = self.reconcile()
