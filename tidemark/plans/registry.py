@@ -781,13 +781,13 @@ def _scratch(spark) -> str:
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
-@query("SELECT DISTINCT 'sha256:'||sha256(text) AS blob_id, encode(text) AS content FROM documents WHERE text IS NOT NULL")
+@query("SELECT DISTINCT 'sha256:'||sha256(text) AS blob_id, octet_length(encode(text)) AS n_bytes FROM documents WHERE text IS NOT NULL")
 def blob_put(spark, sf):
     """Put twice, there once."""
     kept, contents = store.Store(spark, _scratch(spark)), w.table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("text").alias("content"))
     kept.put_blobs(contents)
     kept.put_blobs(contents)
-    return kept.read("blobs")
+    return kept.read("blobs").select("blob_id", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 @query("SELECT attestation_id, artifact_id, seq FROM seqs")
