@@ -28,14 +28,10 @@ def source_files(spark, sf_dir, version: int) -> DataFrame:
 
 
 def edges(spark, sf_dir, version: int) -> DataFrame:
-    """``(relation, subject, member)``: callers, references, implementations and subclasses from one pass over line items."""
-    n = "(l_orderkey % 4 = 0)" if version == 0 else "(l_orderkey % 4 = 0 OR l_orderkey % 16 = 1)"
-    relation = F.expr(
-        f"CASE WHEN l_returnflag = 'R' AND l_linenumber <= 2 AND {n} THEN 'callers' WHEN l_returnflag = 'A' AND l_linenumber <= 2 AND {n} THEN 'references' "
-        f"WHEN l_returnflag = 'N' AND l_linenumber = 1 AND {n} THEN 'implementations' WHEN l_returnflag = 'N' AND l_linenumber = 3 AND {n} THEN 'subclasses' END"
-    )
-    rows = table(spark, sf_dir, "lineitem").select(relation.alias("relation"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("subject"), F.concat(F.lit("supp."), F.col("l_suppkey").cast("string")).alias("member"))
-    return rows.where("relation IS NOT NULL")
+    """``(relation, subject, member)``: every line item is an edge of one of four relations; the versions differ in two of 61 orders."""
+    relation = F.expr("CASE WHEN l_returnflag = 'R' THEN 'callers' WHEN l_returnflag = 'A' THEN 'references' WHEN l_linenumber % 2 = 1 THEN 'implementations' ELSE 'subclasses' END")
+    kept = table(spark, sf_dir, "lineitem").where(f"l_orderkey % 61 <> {1 + version}")
+    return kept.select(relation.alias("relation"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("subject"), F.concat(F.lit("supp."), F.col("l_suppkey").cast("string")).alias("member"))
 
 
 def symbols(spark, sf_dir) -> DataFrame:
@@ -85,10 +81,9 @@ def artifacts(spark, sf_dir) -> DataFrame:
 
 
 def dependencies(spark, sf_dir) -> DataFrame:
-    """Artifacts depend on the callers of the parts that their customers ordered first in every third order."""
+    """Artifacts depend on the callers of the parts that their customers ordered."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    lines = li.where("l_linenumber = 1 AND l_orderkey % 3 = 0").select("l_orderkey", "l_partkey")
-    rows = o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = o.select("o_orderkey", "o_custkey").join(li.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.select(F.concat(F.lit("fact."), F.col("o_custkey").cast("string")).alias("artifact_id"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("subject")).distinct()
     return rows.join(keys(spark, sf_dir, "callers").select("projection_id", "subject"), "subject").select("artifact_id", "projection_id")
 
@@ -110,15 +105,15 @@ CTES = {
     "m0": "SELECT path, 'sha256:'||sha256(content) AS digest FROM files0",
     "m1": "SELECT path, 'sha256:'||sha256(content) AS digest FROM files1",
     "changes": "SELECT coalesce(m0.path, m1.path) AS path, CASE WHEN m0.path IS NULL THEN 'added' WHEN m1.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM m0 FULL JOIN m1 ON m0.path = m1.path WHERE m0.digest IS DISTINCT FROM m1.digest",
-    "edges0": "SELECT * FROM (SELECT CASE WHEN l_returnflag='R' AND l_linenumber<=2 AND l_orderkey%4=0 THEN 'callers' WHEN l_returnflag='A' AND l_linenumber<=2 AND l_orderkey%4=0 THEN 'references' WHEN l_returnflag='N' AND l_linenumber=1 AND l_orderkey%4=0 THEN 'implementations' WHEN l_returnflag='N' AND l_linenumber=3 AND l_orderkey%4=0 THEN 'subclasses' END AS relation, 'part.'||l_partkey AS subject, 'supp.'||l_suppkey AS member FROM lineitem) WHERE relation IS NOT NULL",
-    "edges1": "SELECT * FROM (SELECT CASE WHEN l_returnflag='R' AND l_linenumber<=2 AND (l_orderkey%4=0 OR l_orderkey%16=1) THEN 'callers' WHEN l_returnflag='A' AND l_linenumber<=2 AND (l_orderkey%4=0 OR l_orderkey%16=1) THEN 'references' WHEN l_returnflag='N' AND l_linenumber=1 AND (l_orderkey%4=0 OR l_orderkey%16=1) THEN 'implementations' WHEN l_returnflag='N' AND l_linenumber=3 AND (l_orderkey%4=0 OR l_orderkey%16=1) THEN 'subclasses' END AS relation, 'part.'||l_partkey AS subject, 'supp.'||l_suppkey AS member FROM lineitem) WHERE relation IS NOT NULL",
+    "edges0": "SELECT CASE WHEN l_returnflag='R' THEN 'callers' WHEN l_returnflag='A' THEN 'references' WHEN l_linenumber%2=1 THEN 'implementations' ELSE 'subclasses' END AS relation, 'part.'||l_partkey AS subject, 'supp.'||l_suppkey AS member FROM lineitem WHERE l_orderkey%61<>1",
+    "edges1": "SELECT CASE WHEN l_returnflag='R' THEN 'callers' WHEN l_returnflag='A' THEN 'references' WHEN l_linenumber%2=1 THEN 'implementations' ELSE 'subclasses' END AS relation, 'part.'||l_partkey AS subject, 'supp.'||l_suppkey AS member FROM lineitem WHERE l_orderkey%61<>2",
     "keys": "SELECT 'part.'||p_partkey AS subject, 'sha256:'||sha256(concat_ws(chr(31),'projection.v1','callers','symbol','part.'||p_partkey,'callers','3')) AS projection_id FROM part",
     "v0": "SELECT keys.projection_id, keys.subject, coalesce(string_agg(DISTINCT member,'; ' ORDER BY member),'') AS value FROM keys LEFT JOIN (SELECT * FROM edges0 WHERE relation='callers') e ON e.subject=keys.subject GROUP BY ALL",
     "v1": "SELECT keys.projection_id, keys.subject, coalesce(string_agg(DISTINCT member,'; ' ORDER BY member),'') AS value FROM keys LEFT JOIN (SELECT * FROM edges1 WHERE relation='callers') e ON e.subject=keys.subject GROUP BY ALL",
     "obs": "SELECT projection_id, 'sha256:'||sha256(value) AS digest FROM v0",
     "defs": "SELECT 'part.'||p_partkey AS symbol, p_partkey, ['function','async_function','method','async_method','class','function'][CAST(p_size%6 AS INT)+1] AS kind, CASE WHEN p_size%6<>4 THEN '(self, size: int = '||p_size||') -> '||replace(p_type,' ','_') END AS signature FROM part",
     "arts": "SELECT 'fact.'||c_custkey AS artifact_id, CASE WHEN c_custkey%4=0 THEN 'absence-fact.v1' ELSE 'set-equality.v1' END AS contract FROM customer",
-    "deps": "SELECT DISTINCT 'fact.'||o_custkey AS artifact_id, projection_id FROM orders JOIN lineitem ON o_orderkey=l_orderkey JOIN keys ON keys.subject='part.'||l_partkey WHERE l_linenumber=1 AND o_orderkey%3=0",
+    "deps": "SELECT DISTINCT 'fact.'||o_custkey AS artifact_id, projection_id FROM orders JOIN lineitem ON o_orderkey=l_orderkey JOIN keys ON keys.subject='part.'||l_partkey",
     "atts": "SELECT 'att.'||event_id AS attestation_id, event_id, 'art.'||user_id AS artifact_id, ['VALID','STALE','UNKNOWN','VALID'][CAST(event_id%4 AS INT)+1] AS validity, CASE WHEN event_id%3=0 THEN 'provisional' ELSE 'authoritative' END AS authority, ['unverified','evidence_backed','structural','test','static','deterministic'][CAST(event_id%6 AS INT)+1] AS level, event_id%6 AS level_rank, CASE WHEN event_id%3=0 THEN 0 ELSE 1 END AS authority_rank, epoch_us(ts)//1000 AS created_at FROM events",
     "seqs": "SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY created_at, attestation_id) AS seq FROM atts",
     "verd": "SELECT projection_id, CASE WHEN CAST(substr(subject,6) AS BIGINT)%37=0 THEN 'unknown' ELSE 'complete' END AS completeness, CASE WHEN CAST(substr(subject,6) AS BIGINT)%41=0 THEN NULL ELSE 'complete' END AS bound FROM keys",
