@@ -144,6 +144,18 @@ def test_ranges_cover_every_member_once(spark, monkeypatch):
     assert ids == list(range(300))
 
 
+def test_a_damaged_directory_is_noticed(spark):
+    uri = archive(spark, 5)
+    with files.reading(uri) as source:
+        data = bytearray(source.read())
+    data[5 * 20000 + 8] ^= 1  # the first member's size in bytes, right behind the members
+    with files.writing(uri) as out:
+        out.write(bytes(data))
+    reader = media.Reader(uri.rsplit("/", 1)[0])
+    with pytest.raises(OSError, match="damaged"):
+        [b for p in reader.partitions() for b in reader.read(p)]
+
+
 def test_a_member_is_tried_again_by_itself(spark, monkeypatch):
     uri = archive(spark, 5)
     reader, real, failures = media.Reader(uri.rsplit("/", 1)[0]), media.place, []

@@ -79,7 +79,7 @@ class ArchiveWriter:
     def __init__(self, out):
         self.out, self.at = out, out.write(MAGIC)
         self.members: list[tuple[int, int, int, int, int]] = []
-        self.segments: list[tuple[int, int, int]] = []
+        self.segments: list[tuple[int, int, int, int]] = []
         self.held = 0
 
     def add(self, doc_id: int | None, n_bytes: int, media: bytes) -> None:
@@ -92,7 +92,7 @@ class ArchiveWriter:
     def _end(self) -> None:
         if self.members:
             directory = np.array(self.members, "<i8").tobytes()
-            self.segments.append((self.at, len(directory), self.held))
+            self.segments.append((self.at, len(directory), self.held, zlib.crc32(directory)))
             self.at += self.out.write(directory)
             self.members, self.held = [], 0
 
@@ -103,17 +103,17 @@ class ArchiveWriter:
 
 
 def segments_of(source) -> np.ndarray:
-    """Rows (place of the directory, its length, bytes of the members) of an open archive's footer."""
+    """Rows (place of the directory, its length, bytes of the members, crc32 of the directory) of an open archive's footer."""
     source.seek(source.size() - TAIL.size)
     at, size, crc = TAIL.unpack(source.read(TAIL.size))
     source.seek(at)
     footer = source.read(size)
     if zlib.crc32(footer) != crc:
         raise OSError("damaged footer")
-    return np.frombuffer(footer, "<i8").reshape(-1, 3)
+    return np.frombuffer(footer, "<i8").reshape(-1, 4)
 
 
-def read_at(uri: str, offset: int, size: int, crc: int | None, handle: list) -> bytes:
+def read_at(uri: str, offset: int, size: int, crc: int, handle: list) -> bytes:
     """``size`` bytes at ``offset``; a failure opens the archive again and reads this one range again."""
     for attempt in range(TRIES):
         try:
@@ -122,7 +122,7 @@ def read_at(uri: str, offset: int, size: int, crc: int | None, handle: list) ->
                 handle.append(system.open_input_file(path))
             handle[0].seek(offset)
             data = handle[0].read(size)
-            if len(data) != size or crc is not None and zlib.crc32(data) != crc:
+            if len(data) != size or zlib.crc32(data) != crc:
                 raise OSError(f"{uri}: bytes {offset} to {offset + size} are damaged")
             return data
         except OSError:
@@ -135,7 +135,7 @@ def read_at(uri: str, offset: int, size: int, crc: int | None, handle: list) ->
 @dataclass
 class Range(InputPartition):
     uri: str
-    segments: list[tuple[int, int]]
+    segments: list[tuple[int, int, int]]
 
 
 @dataclass
@@ -156,8 +156,8 @@ class Reader(DataSourceReader):
             with reading(uri) as source:
                 found = segments_of(source)
             some, size = [], 0
-            for at, length, held in found.tolist():
-                some.append((at, length))
+            for at, length, held, crc in found.tolist():
+                some.append((at, length, crc))
                 size += held
                 if size >= SPLIT:
                     out.append(Range(uri, some))
@@ -168,11 +168,11 @@ class Reader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         handle: list = []
-        for at, length in partition.segments:
-            members = np.frombuffer(read_at(partition.uri, at, length, None, handle), "<i8").reshape(-1, 5).tolist()
+        for at, length, crc in partition.segments:
+            members = np.frombuffer(read_at(partition.uri, at, length, crc, handle), "<i8").reshape(-1, 5).tolist()
             rows, size = [], 0
-            for doc_id, n_bytes, offset, length_, crc in members:
-                rows.append((None if doc_id == NULL_ID else doc_id, n_bytes, read_at(partition.uri, offset, length_, crc, handle)))
+            for doc_id, n_bytes, offset, length_, crc_ in members:
+                rows.append((None if doc_id == NULL_ID else doc_id, n_bytes, read_at(partition.uri, offset, length_, crc_, handle)))
                 size += length_
                 if len(rows) >= ROWS or size >= BATCH:
                     yield self.batch(rows)
