@@ -25,11 +25,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.tokens import MOST_UNITS, vocabulary
+from tidemark.llm.tokens import vocabulary
 from tidemark.llm.workers import held
 
 _word = re.compile(r"\n| *[^ \n]+| +")
 
+#: Words a worker holds the ids of.
+MOST_WORDS = 350_000
+
 
 class Pieces:
     def __init__(self, name: str):
@@ -103,7 +106,7 @@ class Pieces:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         words = [_word.findall(" " + t) if t else [] for t in texts]
         wanted = set().union(*words)
-        if len(self.known) + len(wanted) > MOST_UNITS:
+        if len(self.known) + len(wanted) > MOST_WORDS:
             self.known = {w: self.known[w] for w in wanted if w in self.known}
         self.learn([w for w in wanted if w not in self.known])
         get = self.known.__getitem__
