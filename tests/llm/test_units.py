@@ -13,12 +13,3 @@ def test_balanced_white_space(name):
     encoder = Encoder(name)
     for text, ids in zip(TEXTS, encoder.encode(TEXTS), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text
-
-
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_a_dictionary_of_four_units_and_units_too_long_to_hold(name):
-    encoder = Encoder(name, most=4)
-    texts = ["a b c d e f a b, c' d's 1a2 don't", "x" * 300 + " " + "Y" * 300, " a\n\n  b.", "é è, ÀÉ", "a<|b <|endoftext|> c", "中文 中"] * 3
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text
-    assert len(encoder.known) + len(encoder.known.before) < 20 and all(len(u) < 300 for u in encoder.known)

@@ -2,9 +2,8 @@
 
 A text falls apart, without change of its ids, before every run of white space that follows another character: neither
 pre-tokenizer of the public vocabularies joins characters across such a place. The resulting units (white space and the
-word after it) repeat, so a bounded dictionary holds the ids of the short ones. Texts with unusual white space, and texts that
-hold the string of one of the vocabulary's added tokens, are encoded as a whole by the library, which makes one id of such
-a string.
+word after it) repeat, so a bounded dictionary holds their ids. Texts with unusual white space, and texts that hold the
+string of one of the vocabulary's added tokens, are encoded as a whole by the library, which makes one id of such a string.
 
 A unit of plain Latin characters is cut here as the vocabulary's own pre-tokenizer cuts it (letters, digits, other), and
 only pieces that are new go to the library's model. Any other unit goes to the whole library.
@@ -17,16 +16,13 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable
 
 from tidemark.llm.workers import held
 
-#: Units and pieces of them held by a worker: some 100 MB. Those not met for long go first, which changes speed and no result.
-MOST_UNITS = 500_000
-#: Characters of a unit worth holding.
-LONG = 100
+#: Units, and pieces of them, held by a worker: some 60 MB each. A full dictionary starts anew, which changes speed and no result.
+MOST_UNITS = 350_000
 #: What these expressions cut alike in every Unicode version.
-_plain = re.compile(r"[ -~\n\t\r\xa1-\u012f]*").fullmatch
+_plain = re.compile(r"[ -~\n\t\r\xa1-\u012f]*")
 #: The cuts of the two public vocabularies' pre-tokenizers. Fixed values.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -54,48 +50,31 @@ def units(text: str) -> list[str]:
     return [text] if _odd.search(text) else _unit.findall(text)
 
 
-class Words(dict):
-    """Ids by unit, made when first asked for; two generations of at most ``most / 2`` units each."""
-
-    def __init__(self, ids_of: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.ids_of, self.most = ids_of, most
-        self.before: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.most // 2:
-            self.before = self.copy()
-            self.clear()
-        ids = self.before.get(unit)
-        if ids is None:
-            ids = self.ids_of(unit)
-        if len(unit) <= LONG:
-            self[unit] = ids
-        return ids
-
-
 class Encoder:
     """``encode(texts)``: for each text the library's ids as little-endian unsigned 32-bit integers, nothing added; null is empty."""
 
     def __init__(self, name: str, most: int = MOST_UNITS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary(name))
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         spec = json.loads(self.library.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
         steps = [spec["pre_tokenizer"], *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         pattern = next((x["pattern"].get("Regex") for x in steps if x and x["type"] == "Split"), None)
-        lower = spec["normalizer"] is not None
-        self.known = Words(self._whole, most)
+        self.lower = spec["normalizer"] is not None
+        self.cut = None
         if spec["model"]["type"] == "BPE":
-            if not lower and steps[0] and steps[0]["type"] == "ByteLevel" and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
-                self.known.ids_of, self.cut = self._cased, regex.compile(BYTE_LEVEL).findall
-            elif lower and pattern == LOWER_WORDS and [x["type"] for x in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-                self.known.ids_of, self.cut = self._lowered, regex.compile(LOWER_WORDS).findall
-        self.tokenize = self.library.model.tokenize
+            if not self.lower and steps[0] and steps[0]["type"] == "ByteLevel" and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
+                self.cut = regex.compile(BYTE_LEVEL)
+            elif self.lower and pattern == LOWER_WORDS and [x["type"] for x in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+                self.cut = regex.compile(LOWER_WORDS)
+        self.model = self.library.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
         self.printable = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -103,55 +82,54 @@ class Encoder:
     @classmethod
     def of(cls, name: str, most: int = MOST_UNITS) -> Encoder:
         out = held(f"encoder {name}", lambda: cls(name))
-        out.known.most = most
+        out.most = most
         return out
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _cased(self, unit: str) -> bytes:
-        if unit.isascii():
-            word = unit[1:] if unit[0] == " " else unit
-            if word.isalpha():
-                return self._piece(unit)
-        return self._pieces(self.cut(unit)) if _plain(unit) and "<|" not in unit else self._whole(unit)
-
-    def _lowered(self, unit: str) -> bytes:
-        if not _plain(unit) or "<|" in unit:
-            return self._whole(unit)
-        word = unit.lower().lstrip(" \n")
-        if not word.isalpha():
-            return self._pieces(self.cut(word))
-        # The word itself is held too, for units of the same word.
-        return self._piece(word) if word == unit else self._pieces([word])
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        get, out = self.known.get, []
-        for piece in pieces:
-            ids = get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= LONG:
-                    self.known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+    def learn(self, missing: list[str]) -> None:
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        known, pieces = self.known, self.pieces
+        plain, lower, cut, piece = _plain.fullmatch, self.lower, self.cut, self._piece
+        other = []
+        for unit in missing:
+            if cut is None or not plain(unit) or "<|" in unit:
+                other.append(unit)
+                continue
+            word = unit.lower().lstrip(" \n") if lower else unit
+            if word.isalpha() or not lower and word[0] == " " and word[1:].isalpha():
+                known[unit] = pieces.get(word) or piece(word)
+            else:
+                known[unit] = b"".join([pieces.get(w) or piece(w) for w in cut.findall(word)])
+        for i in range(0, len(other), 2000):
+            part = other[i : i + 2000]
+            for unit, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[unit] = array("I", found.ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Straight to the library's model, which knows a piece by the printable form of its bytes."""
-        word = piece[1:] if piece[0] == " " else piece
-        if word.isascii() and word.isalpha():
-            printable = piece if word is piece else self.printable[32] + word
-        else:
-            printable = piece.encode().decode("latin-1").translate(self.printable)
-        return array("I", [t.id for t in self.tokenize(printable)]).tobytes()
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.printable))
+        out = self.pieces[piece] = array("I", [t.id for t in tokens]).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, out = self.known.__getitem__, []
+        out, some, size = [], [], 0
         for text in texts:
             if not text:
-                out.append(b"")
+                some.append([])
             elif any(t in text for t in self.added):
-                out.append(self._whole(text))
+                some.append([text])
             else:
-                out.append(b"".join(map(get, units(text))))
-        return out
+                some.append(units(text))
+            size += len(text or "")
+            if size > 4_000_000:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[list[str]]) -> list[bytes]:
+        wanted = set().union(*texts)
+        if len(self.known) + len(wanted) > self.most:
+            self.known = {u: self.known[u] for u in wanted if u in self.known}
+        self.learn([u for u in wanted if u not in self.known])
+        get = self.known.__getitem__
+        return [b"".join(map(get, u)) for u in texts]
