@@ -31,10 +31,17 @@ def test_every_beginning_of_any_text(text):
     assert COUNTS.table(text).tolist() == [length(text[:k]) for k in range(len(text) + 1)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(categories=["L"], max_codepoint=0x24F), max_size=30).map(str.lower) | st.text("aeinrst", max_size=60))
+def test_the_programme_counts_as_the_model(piece):
+    assert COUNTS.programme(piece) == [len(LIBRARY.model.tokenize(piece[:k].encode().decode("latin-1").translate(COUNTS.printable))) for k in range(1, len(piece) + 1)]
+
+
 def test_parts_and_full_dictionary(monkeypatch):
     monkeypatch.setattr(tc, "WORDS", 7)
     monkeypatch.setattr(tc, "MOST_CHARS", 20)
     monkeypatch.setattr(tc, "MOST_PAIRS", 10)
+    monkeypatch.setattr(tc, "MOST_BEGUN", 20)
     text = "one two three, four's fivefold sixty 77 " * 4
     few = tc.PrefixCounts(NAME)
     assert few.table(text).tolist() == [length(text[:k]) for k in range(len(text) + 1)]

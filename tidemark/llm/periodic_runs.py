@@ -4,8 +4,8 @@ A run is a stretch of words with smallest period q and a length of at least max(
 For every power of two B the words are cut into blocks of B. A run of a period q in [B, 2 * B) holds a block whose next
 occurrence at distance q lies in it too, so it is enough to know where blocks occur again at distances B to 2 * B - 1: where the
 sum of squared differences is zero. That sum is two running sums less twice a correlation, which a number-theoretic transform
-over whole numbers gives exactly modulo a prime (blocks under ``DIRECT`` words sum the squares as they are). Each (block,
-distance) of sum zero is a seed. A seed inside a known run of a smaller period is one of its multiples; any other is extended both
+over whole numbers gives exactly modulo a prime (blocks under ``DIRECT`` words sum the squares as they are; a block with a
+word that does not come again within 2 * B cannot occur again itself and needs no transform). Each (block, distance) of sum zero is a seed. A seed inside a known run of a smaller period is one of its multiples; any other is extended both
 ways by binary search over prefix hashes, and what comes out long enough is compared word by word. Neither a sum that is zero
 only modulo the prime nor equal hashes of different words can make a run, and none is missed: equal words always agree.
 
@@ -40,7 +40,7 @@ HASH_PRIME = np.uint64((1 << 31) - 1)
 #: Blocks below this length sum their squares directly.
 DIRECT = 16
 #: Numbers transformed at once.
-AREA = 1 << 20
+AREA = 1 << 16
 #: Words and characters worked on at once, unless one text is longer.
 WORDS, CHARS = 1 << 18, 1 << 20
 SCHEMA = "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
@@ -59,37 +59,52 @@ def transform(rows: np.ndarray, inverse: bool = False) -> np.ndarray:
     p, n = np.uint64(PRIME), rows.shape[1]
     root = pow(ROOT, (PRIME - 1) // n, PRIME)
     unity = powers(pow(root, PRIME - 2, PRIME) if inverse else root, max(n // 2, 1), PRIME)
+    scaled = (unity << np.uint64(32)) // p  # a product's quotient by p, one too small at most
     # Each step halves the transforms' stride and doubles their number; results come out in natural order.
     out, count, size = rows.reshape(len(rows), n, 1), n, 1
     while count > 1:
-        even, odd = out[:, : count // 2], out[:, count // 2 :]
-        turned = odd * unity[:: n // (2 * size)][:size] % p
-        out = np.concatenate([even + turned, even + (p - turned)], axis=2) % p
+        even, odd, step = out[:, : count // 2], out[:, count // 2 :], n // (2 * size)
+        turned = odd * unity[::step] - ((odd * scaled[::step]) >> np.uint64(32)) * p
+        turned = np.minimum(turned, turned - p)  # below zero is very large
+        both = np.empty((len(rows), count // 2, 2 * size), np.uint64)
+        np.add(even, turned, out=both[:, :, :size])
+        np.subtract(even + p, turned, out=both[:, :, size:])
+        out = np.minimum(both, both - p)
         count, size = count // 2, size * 2
     out = out.reshape(len(rows), n)
     return out * np.uint64(pow(n, PRIME - 2, PRIME)) % p if inverse else out
 
 
-def again(x: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, distance) of blocks at multiples of ``block`` that occur again at a distance in [block, 2 * block); a few may be false."""
+def gaps(x: np.ndarray) -> np.ndarray:
+    """How far on each word comes again; beyond the end if never."""
+    order = np.argsort(x, kind="stable")
+    out = np.full(len(x), 2 * len(x))
+    like = x[order[1:]] == x[order[:-1]]
+    out[order[:-1][like]] = (order[1:] - order[:-1])[like]
+    return out
+
+
+def again(x: np.ndarray, block: int, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, distance) of blocks at multiples of ``block`` that occur again at a distance in [block, 2 * block); a few may be false. ``gap``: ``gaps(x)``."""
     blocks = len(x) // block
     if blocks < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if block < DIRECT:
         starts, distances = [], []
         for d in range(block, 2 * block):
-            gap = x[: len(x) - d] - x[d:]
-            whole = len(gap) // block * block
-            found = np.flatnonzero((gap[:whole] * gap[:whole]).reshape(-1, block).sum(1) == 0)
+            apart = x[: len(x) - d] - x[d:]
+            whole = len(apart) // block * block
+            found = np.flatnonzero((apart[:whole] * apart[:whole]).reshape(-1, block).sum(1) == 0)
             starts.append(found * block)
             distances.append(np.full(len(found), d))
         return np.concatenate(starts), np.concatenate(distances)
     p = np.uint64(PRIME)
     padded = np.concatenate([x, np.zeros(3 * block, x.dtype)]).astype(np.uint64)
     squares = np.concatenate([[0], np.cumsum(padded * padded % p)]).astype(np.uint64)
-    rows, out = max(1, AREA // (2 * block)), ([], [])
-    for first in range(0, blocks, rows):
-        at = np.arange(first, min(first + rows, blocks)) * block
+    rows, out = max(1, AREA // (2 * block)), ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+    every = np.flatnonzero(gap[: blocks * block].reshape(-1, block).max(1) < 2 * block) * block
+    for first in range(0, len(every), rows):
+        at = every[first : first + rows]
         own = np.zeros((len(at), 2 * block), np.uint64)
         own[:, 0] = padded[at]
         own[:, : block : -1] = padded[at[:, None] + np.arange(1, block)]  # backwards, so that the product is a correlation
@@ -140,11 +155,11 @@ def runs_of(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     longest = int(np.diff(bounds).max(initial=0))
     if longest < 6:
         return np.zeros((0, 3), np.int64)
-    prefixes, found = Prefixes(x), [np.zeros((0, 3), np.int64)]
+    prefixes, gap, found = Prefixes(x), gaps(x), [np.zeros((0, 3), np.int64)]
     ends = np.zeros(len(x), np.int64)  # at the start of a known run, its end
     block = 1
     while 4 * block <= longest:
-        i, d = again(x, block)
+        i, d = again(x, block, gap)
         text = np.searchsorted(bounds, i, "right") - 1
         begin, end = bounds[text], bounds[text + 1]
         new = (i + block + d <= end) & (np.maximum.accumulate(ends)[i] < i + block + d)

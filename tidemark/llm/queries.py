@@ -9,6 +9,8 @@ from tidemark.llm.media import op5_media_columns
 from tidemark.llm.near_dedup import op10_minhash_near_dedup
 from tidemark.llm.packing import op6_sum_of_squares_packing
 from tidemark.llm.periodic_runs import op13_periodic_runs
+from tidemark.llm.phrases import ORACLE as COLLOCATIONS
+from tidemark.llm.phrases import op11_phrase_collocations
 from tidemark.llm.piece_viterbi import op8_piece_viterbi
 from tidemark.llm.quality_rules import op7_quality_rules
 from tidemark.llm.substring_dedup import op2_substring_dedup
@@ -27,8 +29,9 @@ QUERIES = {
         op8_piece_viterbi,
         op9_exact_dedup,
         op10_minhash_near_dedup,
+        op11_phrase_collocations,
         op12_prefix_token_counts,
         op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op9_exact_dedup": EXACT_DEDUP}
+ORACLE_SQL = {"op9_exact_dedup": EXACT_DEDUP, "op11_phrase_collocations": COLLOCATIONS}

@@ -3,7 +3,8 @@
 ``PrefixCounts.table(text)[k]`` is what the library counts for ``text[:k]`` alone, so how many tokens a text has, where to cut it
 for a budget and what a slice at word ends costs are look-ups, without encoding again. A text's table is that of its words, each
 added to what stands before it, since the pre-tokenizer never joins characters across white space. Within a word the
-pre-tokenizer's pieces follow each other alike. Within a piece the programme runs over its bytes: merges make at most one
+pre-tokenizer's pieces follow each other alike. Pieces that begin alike share their beginnings' counts: the library's model counts
+each distinct beginning of a short piece once. Within a long piece the programme runs over its bytes: merges make at most one
 encoding of a beginning, so the last token of a beginning is the one vocabulary entry that ends there and that merges leave
 apart from the token before it; its count is one more than that of what stands before it. Whether two tokens stay apart is
 remembered. At the ends of characters the same step is done with the end-of-word mark, which gives the count of the cut text.
@@ -26,7 +27,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from tidemark.llm.tokens import LOWER_WORDS, vocabulary
 from tidemark.llm.workers import held
 
 LIMIT = 2048
-#: Characters of words, and pairs of tokens, that a worker holds.
-MOST_CHARS, MOST_PAIRS = 4_000_000, 1_000_000
+#: Characters of words, pairs of tokens and beginnings of pieces that a worker holds.
+MOST_CHARS, MOST_PAIRS, MOST_BEGUN = 3_000_000, 500_000, 600_000
+#: Characters of a piece whose beginnings are counted once each and remembered; in longer ones the programme goes byte by byte.
+SHORT = 40
 #: Words worked on at once.
 WORDS = 1 << 17
 #: White space of Unicode: what the pre-tokenizer takes as such.
@@ -68,7 +71,8 @@ class PrefixCounts:
         rest = [b for b in range(256) if b not in kept]
         self.printable = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.known: dict[str, bytes] = {}
-        self.held, self.pairs = 0, {}
+        self.held, self.pairs, self.begun, self.pieces = 0, {}, {}, {}
+        self.model = self.library.model
 
     def merged(self, signs: list[str]) -> list[str]:
         while len(signs) > 1:
@@ -94,11 +98,25 @@ class PrefixCounts:
 
     def piece(self, piece: str) -> list[int]:
         """Counts of the beginnings of one piece, of 1, 2, ... characters."""
+        if len(piece) > SHORT:
+            return self.programme(piece)
+        if known := self.pieces.get(piece):
+            return known
+        if len(self.begun) > MOST_BEGUN:
+            self.begun.clear()
+            self.pieces.clear()
+        begun, out = self.begun, []
+        for k in range(1, len(piece) + 1):
+            if not (n := begun.get(beginning := piece[:k])):
+                n = begun[beginning] = len(self.model.tokenize(beginning.encode().decode("latin-1").translate(self.printable)))
+            out.append(n)
+        self.pieces[piece] = out
+        return out
+
+    def programme(self, piece: str) -> list[int]:
+        """As ``piece``, of any length, in time linear in it: byte by byte, with the last token of every beginning."""
         signs = piece.encode().decode("latin-1").translate(self.printable)
-        ends, at = set(), 0
-        for c in piece:
-            at += len(c.encode())
-            ends.add(at)
+        ends = set(accumulate(len(c.encode()) for c in piece))
         last, count, out = [""], [0], []
         entries, apart, mark = self.vocabulary, self.apart, self.end
         for i in range(1, len(signs) + 1):
