@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-import pyarrow as pa
+import numpy as np
 import pytest
 
 from tidemark.llm import phrases
@@ -40,19 +40,32 @@ def rows():
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(phrases, "CHARS", 500)
-        monkeypatch.setattr(phrases, "MASS", 700)
+        monkeypatch.setattr(phrases, "BYTES", 5000)
+        monkeypatch.setattr(phrases, "MASS", 7000)
+        monkeypatch.setattr(phrases, "FILTER", 2**8)
     docs = spark.createDataFrame([(l, t, 1, "x", 2) for l, t in rows()], "lang string, text string, n int, phrase string, words int").repartition(5)
     got = sorted(map(tuple, phrases.collocations(docs, top=30 if small else 2000).collect()))
     assert got == brute(rows(), top=30 if small else 2000)
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
-def test_summaries_keep_what_is_frequent():
+@pytest.mark.parametrize("room", [1, 4])
+def test_summaries_keep_what_is_frequent(room):
     rng = random.Random(2)
-    stream = [f"rare {i}" for i in range(400_000)] + [f"often {i}" for i in range(500) for _ in range(10)]
+    stream = list(range(10_000, 1_400_000)) + [i for i in range(500) for _ in range(10)]
     rng.shuffle(stream)
-    batches = [pa.RecordBatch.from_pydict({"bucket": [0] * len(p), "lang": ["x"] * len(p), "phrase": p, "n": [1] * len(p)}) for p in (stream[i : i + 100_000] for i in range(0, len(stream), 100_000))]
-    capacity = len(stream) // 10 + 1
-    kept = [p for b in phrases.summarised(capacity)(iter(batches)) for p in b.column("phrase").to_pylist()]
-    assert {f"often {i}" for i in range(500)} <= set(kept) and len(kept) <= capacity
+    summary = phrases.Summary(room * len(stream) // 10 + 1)
+    summary.capacity = min(summary.capacity, 200_000 * room)
+    for i in range(0, len(stream), 100_000):
+        keys, counts = np.unique(np.array(stream[i : i + 100_000], np.uint32), return_counts=True)
+        summary.add(keys, counts)
+    assert 0 < summary.off < 10
+    kept = summary.survivors(10).tolist()
+    assert set(range(500)) <= set(kept) and len(kept) <= summary.capacity
+
+
+def test_packing_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        numbers = rng.integers(0, 2**32, n, dtype=np.uint32)
+        assert (phrases.unpacked(phrases.packed(numbers), n) == numbers).all()

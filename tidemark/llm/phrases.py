@@ -1,13 +1,18 @@
 """Phrase collocations (operator 11): frequent phrases per language, found by mergeable Misra-Gries summaries, counted exactly.
 
-A text's A-Z become a-z; sentence marks and line ends cut it into pieces, spaces and tabs a piece into words. Tasks count
-the phrases of one to ``longest`` words of a few million characters at a time, and these partial counts are written once.
-
-First pass: phrases are dealt by hash into buckets, each with its own summary: partial counts are merged into it, and whenever it
-holds more phrases than its capacity, the count of the first phrase beyond it is taken off all and those at zero go. A
-capacity of more than mass / threshold, by the bucket of the greatest mass, takes off less than ``threshold`` in all, so that every
-phrase with ``threshold`` occurrences survives. The number of buckets grows with the mass, so a summary stays small.
-Second pass: survivors are joined with the partial counts and summed, which is exact.
+A text's A-Z become a-z; sentence marks and line ends cut it into pieces, spaces and tabs a piece into words. Tasks take
+blocks of a few million bytes of one language; a very long text is cut between words, and phrases belong to the block they begin in.
+
+First pass: every phrase of one to ``longest`` words has a 64-bit hash. Its first bits name a bucket, the next 32 are its key there,
+and a block sends each bucket its keys and counts, packed. Every bucket has its own summary: blocks are merged into it, and
+whenever it holds more keys than its capacity, the count of the first key beyond it is taken off all and those at zero go. The
+capacity is ``ROOM`` times the mass of the heaviest bucket over the threshold, so less than threshold / ``ROOM`` is taken off in all;
+a key whose count and what was taken off reach the threshold survives. So every phrase with ``threshold`` occurrences survives: keys
+that coincide only add counts. The number of buckets grows with the mass, so a summary stays small.
+Second pass: survivors mark a bitmap of ``FILTER`` bits, a fixed size, that all tasks hold. Blocks count the phrases that it marks and
+whose parts it marks (a phrase is no more frequent than its parts), and these counts are summed by the phrase itself, which is exact:
+what the bitmap lets through wrongly is counted and found to be under the threshold. The more survivors there are for the
+bitmap, the more goes through; results are the same.
 
 A candidate of two words or more is cut after each of its words; l and r are the counts of the parts, the score is
 floor(1000000 * a * a / (l * r)), and the lowest-scoring cut counts (ties: the first). All of it is in decimals of 38 digits,
@@ -22,11 +27,12 @@ counted whole. Further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,107 +40,234 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import spill
 from tidemark.llm.workers import lean
 
-#: The contract's marks between pieces and its words. Fixed values.
-PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
-WORD = re.compile(r"[^\x20\x09]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
-#: Characters whose phrases are counted together, and the mass that makes another bucket.
-CHARS, MASS = 3_000_000, 8_000_000
+#: The contract's marks between pieces, and spaces between words. Fixed values.
+MARKS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
+#: Bytes whose phrases are counted together, the mass that makes another bucket, spare capacity of summaries, bits of the filter.
+BYTES, MASS, ROOM, FILTER = 3_000_000, 8_000_000, 4, 2**27
 SALTS = 64
 
-
-def counted(longest: int):
-    """A task's function: batches of (lang, text) to partial counts (lang, phrase, words, n)."""
+_class = np.zeros(256, np.uint8)
+_class[list(SPACES)], _class[list(MARKS)] = 1, 2
+_gap = re.compile(b"[" + re.escape(SPACES + MARKS) + b"]+")
+
+
+def blocks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str, bytes, int]]:
+    """Batches of (lang, text) to (lang, lower-cased bytes, limit): phrases that begin before the limit are the block's own."""
+    waiting: dict[str, list[bytes]] = {}
+    size = 0
+
+    def flush() -> Iterator[tuple[str, bytes, int]]:
+        for lang, texts in waiting.items():
+            whole, at = b"\n".join(texts).lower(), 0
+            while at < len(whole):
+                gap = _gap.search(whole, at + BYTES)
+                end = far = gap.end() if gap else len(whole)
+                for _ in range(longest - 1):
+                    gap = _gap.search(whole, far)
+                    far = gap.end() if gap else len(whole)
+                yield lang, whole[at:far], end - at
+                at = end
+        waiting.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            waiting.setdefault(lang.as_py(), []).append(text)
+            size += len(text)
+            if size > BYTES:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+class Block:
+    """The words of a block as codes of a vocabulary, and the hashes of all its phrases."""
+
+    def __init__(self, lang: str, data: bytes, limit: int, longest: int) -> None:
+        raw = np.frombuffer(data, np.uint8)
+        kinds = _class[raw]
+        inside = kinds == 0
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
+        self.codes, self.vocabulary = words.indices.to_numpy().astype(np.int64), words.dictionary
+        self.own = int(np.searchsorted(starts, limit))
+        piece = np.cumsum(kinds == 2)[starts]
+        seed = xxhash.xxh64_intdigest(lang.encode())
+        word = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))[self.codes]
+        #: By length: whether a phrase begins at a word, and its hash.
+        self.there, self.hashes = [], []
+        running = word
+        for k in range(1, longest + 1):
+            n = max(0, len(starts) - k + 1)
+            if k > 1:
+                running = (running[:n] ^ (running[:n] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word[k - 1 :]
+            mixed = (running ^ (running >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            self.there.append(piece[:n] == piece[k - 1 :])
+            self.hashes.append(mixed ^ (mixed >> np.uint64(31)))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their bytes by place, compressed."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def dealt(longest: int, bits: int):
+    """A task's function: batches of (lang, text) to (bucket, mass, entries, keys, counts), a row for a block and bucket of 2**bits."""
 
     @lean
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[Counter]] = {}
-        size = 0
+        for block in blocks(batches, longest):
+            b = Block(*block, longest)
+            found = np.concatenate([h[: b.own][t[: b.own]] for h, t in zip(b.hashes, b.there, strict=True)])
+            found, counts = np.unique(found, return_counts=True)
+            edges = np.searchsorted(found >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+            keys = ((found >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            full = np.flatnonzero(np.diff(edges))
+            for some in np.array_split(full, len(full) // 1000 + 1):
+                cuts = [slice(edges[i], edges[i + 1]) for i in some]
+                mass = [int(counts[c].sum()) for c in cuts]
+                deltas = [packed(np.diff(keys[c], prepend=np.uint32(0))) for c in cuts]
+                columns = [pa.array(some, pa.int32()), pa.array(mass, pa.int64()), pa.array([c.stop - c.start for c in cuts], pa.int32()), pa.array(deltas, pa.binary()), pa.array([packed(counts[c]) for c in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "mass", "entries", "keys", "counts"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, by_length in counts.items():
-                for k, found in enumerate(by_length, 1):
-                    phrases = pa.array(found if k == 1 else map(" ".join, found), pa.string())
-                    batch = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(found)), phrases, pa.repeat(pa.scalar(k, pa.int32()), len(found)), pa.array(found.values(), pa.int64())], names=["lang", "phrase", "words", "n"])
-                    yield from (batch.slice(i, 50_000) for i in range(0, len(found), 50_000))
-            counts.clear()
+    return each
 
+
+class Summary:
+    """A Misra-Gries summary of keys with counts; ``off`` is what was taken off every count."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.off = capacity, 0
+        self.keys, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(500_000, self.capacity // 2):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
+        self.waiting, self.size = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
+        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        if len(keys) > self.capacity:
+            less = int(np.partition(counts, len(counts) - self.capacity - 1)[len(counts) - self.capacity - 1])
+            self.off += less
+            keys, counts = keys[counts > less], counts[counts > less] - less
+        self.keys, self.counts = keys, counts
+
+    def survivors(self, threshold: int) -> np.ndarray:
+        self.merge()
+        return self.keys[self.counts + self.off >= threshold]
+
+
+def summarised(capacity: int, threshold: int, bits: int):
+    """A task's function: the rows of whole buckets, one bucket after the other, to (bucket, marks): the bucket's part of the bitmap."""
+    width = FILTER >> bits
+
+    def marks(bucket: int, summary: Summary) -> pa.RecordBatch:
+        held = np.zeros(width, np.uint8)
+        held[summary.survivors(threshold) // np.uint32(2**32 // width)] = 1
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "marks": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    @lean
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, summary = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                own = counts.setdefault(batch.column(0)[i].as_py(), [Counter() for _ in range(longest)])
-                for piece in PIECE.split(batch.column(1)[i].as_py().translate(LOWER)):
-                    words = WORD.findall(piece)
-                    own[0].update(words)
-                    for k in range(2, longest + 1):
-                        own[k - 1].update(zip(*(words[j:] for j in range(k))))
-                    size += len(piece)
-                    if size > CHARS:
-                        yield from flush()
-                        own = counts.setdefault(batch.column(0)[i].as_py(), [Counter() for _ in range(longest)])
-                        size = 0
-        yield from flush()
+                bucket, n, keys, counts = (batch.column(c)[i].as_py() for c in ("bucket", "entries", "keys", "counts"))
+                if bucket != at:
+                    if summary:
+                        yield marks(at, summary)
+                    at, summary = bucket, Summary(capacity)
+                summary.add(np.cumsum(unpacked(keys, n), dtype=np.uint32), unpacked(counts, n).astype(np.int64))
+        if summary:
+            yield marks(at, summary)
 
     return each
 
 
-def summarised(capacity: int):
-    """A task's function: partial counts (bucket, lang, phrase, n) to the phrases that each bucket's Misra-Gries summary of this capacity keeps."""
-
-    def merged(tables: list[pa.Table]) -> pa.Table:
-        whole = pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
-        if whole.num_rows > capacity:
-            n = whole["n"].to_numpy().copy()
-            n.partition(len(n) - capacity - 1)
-            off = int(n[len(n) - capacity - 1])
-            less = pc.subtract(whole["n"], off)
-            whole = whole.set_column(2, "n", less).filter(pc.greater(less, 0))
-        return whole
+def counted(longest: int, bitmap):
+    """A task's function: batches of (lang, text) to partial counts (lang, phrase, words, n) of marked phrases; words = 0 has the number of all words."""
 
     @lean
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summaries: dict[int, pa.Table] = {}
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-
-        def merge() -> None:
-            block = pa.Table.from_batches(waiting)
-            for bucket in pc.unique(block["bucket"]).to_pylist():
-                own = block.filter(pc.equal(block["bucket"], bucket)).select(["lang", "phrase", "n"])
-                summaries[bucket] = merged([summaries[bucket], own] if bucket in summaries else [own])
-            waiting.clear()
-
-        for batch in batches:
-            waiting.append(batch)
-            size += batch.num_rows
-            if size > 500_000:
-                merge()
-                size = 0
-        if waiting:
-            merge()
-        for summary in summaries.values():
-            yield from (b.select(["lang", "phrase"]) for b in summary.combine_chunks().to_batches(max_chunksize=50_000))
+        marked = np.frombuffer(bitmap.value, np.uint8)
+        shift = np.uint64(64 - (FILTER.bit_length() - 1))
+
+        def rows(lang: str, phrases: pa.Array, k: int, n: pa.Array) -> Iterator[pa.RecordBatch]:
+            whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), phrases.cast(pa.binary()), pa.repeat(pa.scalar(k, pa.int32()), len(n)), n], names=["lang", "phrase", "words", "n"])
+            yield from (whole.slice(i, 50_000) for i in range(0, len(n), 50_000))
+
+        for block in blocks(batches, longest):
+            b = Block(*block, longest)
+            yield from rows(block[0], pa.array([b""], pa.large_binary()), 0, pa.array([b.own], pa.int64()))
+            ids = parts = None
+            for k in range(1, longest + 1):
+                slot = b.hashes[k - 1] >> shift
+                hit = b.there[k - 1] & ((marked[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                if k == 1:
+                    ids = b.codes
+                else:
+                    hit &= parts[: len(hit)] & parts[1 : len(hit) + 1]
+                    ids = ids[: len(hit)] * len(b.vocabulary) + b.codes[k - 1 :]
+                at = np.flatnonzero(hit)
+                _, first, again = np.unique(ids[at], return_index=True, return_inverse=True)
+                numbered = np.zeros(len(hit), np.int64)
+                numbered[at] = again
+                ids, parts = numbered, hit
+                n = np.bincount(again[at < b.own], minlength=len(first))
+                seen = np.flatnonzero(n)
+                starts = at[first[seen]]
+                words = [b.vocabulary.take(pa.array(b.codes[starts + j])) for j in range(k)]
+                yield from rows(block[0], pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())), k, pa.array(n[seen], pa.int64()))
 
     return each
 
 
-def frequent(counts: DataFrame, threshold: int) -> DataFrame:
-    """Partial ``counts(lang, phrase, words, n)`` to the exact (lang, phrase, words, a) with a >= threshold."""
-    mass = counts.where("words > 1").agg(F.sum("n")).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(8, mass // MASS)))
-    dealt = counts.where("words > 1").select(bucket.cast("int").alias("bucket"), "lang", "phrase", "n")
-    heaviest = dealt.groupBy("bucket").agg(F.sum("n").alias("m")).agg(F.max("m")).first()[0] or 0
-    kept = dealt.repartition("bucket").mapInArrow(summarised(heaviest // threshold + 1), "lang string, phrase string")
-    survivors = spill(kept, "survivors")
-    phrases = counts.where("words > 1").join(survivors, ["lang", "phrase"], "left_semi").unionByName(counts.where("words = 1"))
-    return phrases.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= threshold)
+def frequent(texts: DataFrame, longest: int, threshold: int) -> DataFrame:
+    """``texts(lang, text binary)`` to the exact (lang, phrase, words, a) with a >= threshold, and words = 0 with all words of a language."""
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A word has seven bytes or so, and a phrase of each length begins at it.
+    bits = min(24, max(6, (longest * size // 7 // MASS).bit_length()))
+    blocked = spill(texts.mapInArrow(dealt(longest, bits), "bucket int, mass long, entries int, keys binary, counts binary"), "blocked")
+    heaviest = blocked.groupBy("bucket").agg(F.sum("mass").alias("m")).agg(F.max("m")).first()[0] or 0
+    capacity = ROOM * heaviest // threshold + 1
+    whole = blocked.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
+    bitmap = bytearray(FILTER // 8)
+    part = (FILTER >> bits) // 8 or 1
+    # FILTER bits in all, whatever the input.
+    for bucket, marks in whole.mapInArrow(summarised(capacity, threshold, bits), "bucket int, marks binary").toLocalIterator():
+        at = bucket * (FILTER >> bits)
+        if FILTER >> bits >= 8:
+            bitmap[at // 8 : at // 8 + part] = marks
+        else:
+            bitmap[at // 8] |= marks[0] << at % 8
+    shared = spark.sparkContext.broadcast(bytes(bitmap))
+    counts = texts.mapInArrow(counted(longest, shared), "lang string, phrase binary, words int, n long")
+    return counts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("n").alias("a")).where((F.col("a") >= threshold) | (F.col("words") == 0))
 
 
 def collocations(docs: DataFrame, longest: int = 3, threshold: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """``docs(lang, text, ...)`` to (lang, rank, phrase, a, l, r, n, score)."""
-    texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = spill(texts.mapInArrow(counted(longest), "lang string, phrase string, words int, n long"), "counts")
-    totals = counts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    known = spill(frequent(counts, threshold), "phrases")
+    texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    known = spill(frequent(texts, longest, threshold), "phrases")
+    totals = known.where("words = 0").select("lang", F.col("a").alias("n"))
+    known = known.where("words > 0")
     candidates = known.where("words > 1")
 
     cuts = candidates.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
