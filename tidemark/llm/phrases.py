@@ -299,19 +299,20 @@ WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
     FROM documents
 ), worded AS (
-    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
-), ones AS (
-    SELECT lang, phrase, 1 AS words, count(*) AS a FROM (SELECT lang, unnest(w) AS phrase FROM worded) GROUP BY ALL
-), twos AS (
-    SELECT lang, phrase, 2 AS words, count(*) AS a
-    FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM worded) GROUP BY ALL
-), threes AS (
-    SELECT lang, phrase, 3 AS words, count(*) AS a
-    FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM worded) GROUP BY ALL
-), known AS (
-    FROM ones UNION ALL FROM twos UNION ALL FROM threes
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), flat AS (
+    SELECT lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded
+), following AS MATERIALIZED (
+    SELECT lang, word AS w1, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM flat WINDOW p AS (PARTITION BY piece ORDER BY i)
+), known AS MATERIALIZED (
+    -- Parts of a candidate are as frequent as the candidate.
+    SELECT lang, w1 AS phrase, 1 AS words, count(*) AS a FROM following GROUP BY ALL HAVING count(*) >= 10
+    UNION ALL
+    SELECT lang, w1 || ' ' || w2 AS phrase, 2 AS words, count(*) AS a FROM following WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+    UNION ALL
+    SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, 3 AS words, count(*) AS a FROM following WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
 ), candidates AS (
-    SELECT *, string_split(phrase, ' ') AS w FROM known WHERE words > 1 AND a >= 10
+    SELECT *, string_split(phrase, ' ') AS w FROM known WHERE words > 1
 ), cuts AS (
     SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
     FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates) c
@@ -327,7 +328,7 @@ WITH pieces AS (
     FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase
     WHERE o.most IS NULL OR 100 * o.most < 50 * b.a
 ), totals AS (
-    SELECT lang, sum(a)::BIGINT AS n FROM ones GROUP BY lang
+    SELECT lang, count(*) AS n FROM following GROUP BY lang
 )
 SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
 """
