@@ -165,7 +165,7 @@ def test_service_round_trip_stale_and_republish(spark, tmp_path):
     write(root, "auth/tokens.py", "def refresh_token(user):\n    return user\n")
     write(root, "auth/service.py", "from auth.tokens import refresh_token\n\ndef login(u):\n    return refresh_token(u)\n")
     write(root, ".git/x.py", "def no(): pass\n")
-    service = Service(spark, root, Store(spark, str(tmp_path / "store")))
+    service = Service(spark, root, Store(spark, str(tmp_path / "store")), trust_scan=True)
     assert service.init()["files_indexed"] == 2
     assert service.query("callers", "auth.tokens.refresh_token") == {"backend": "approximate", "value": "auth.service.login"}
     service.publish("k", "callers", "auth.tokens.refresh_token")
@@ -186,7 +186,7 @@ def test_service_looks_again_at_every_kind_of_view(spark, tmp_path):
     root = str(tmp_path / "repo")
     write(root, "m.py", "import os\n\ndef f(a):\n    return a\n\ndef g():\n    pass\n")
     write(root, "n.py", "def h():\n    pass\n")
-    service = Service(spark, root, Store(spark, str(tmp_path / "store")))
+    service = Service(spark, root, Store(spark, str(tmp_path / "store")), trust_scan=True)
     service.init()
     for key, kind, subject in (("sig", "signature", "m.f"), ("def", "definition", "m.g")):
         service.publish(key, kind, subject)
@@ -211,6 +211,45 @@ def test_service_looks_again_at_every_kind_of_view(spark, tmp_path):
     assert service.store.read("bindings").count() == 4  # bound anew under each universe and tree
 
 
+def test_scan_is_provisional_and_a_broken_file_is_not_complete(spark, tmp_path):
+    """A caller that the line scan misses, and a file that does not parse: never a false VALID."""
+    root = str(tmp_path / "repo")
+    write(root, "m.py", "def f():\n    pass\n")
+    write(root, "n.py", "from m import f\n\ndef g():\n    return f()\n")
+    service = Service(spark, root, Store(spark, str(tmp_path / "store")))
+    service.init()
+    service.publish("callers", "callers", "m.f")
+    last = service.store.read("attestations").first()
+    assert last["authority"] == "provisional" and service.store.read("bindings").first()["completeness"] == "unknown"
+    assert service.retrieve("callers")["verdict"] == "unknown"
+    write(root, "k.py", "from m import (\n    f,\n)\n\ndef h(): return f()\n")
+    assert service.status()["artifacts"]["callers"] != "VALID"
+    got = service.retrieve("callers")
+    assert got["verdict"] == "unknown" and "value" not in got
+
+    trusting = Service(spark, root, Store(spark, str(tmp_path / "other")), trust_scan=True)
+    trusting.init()
+    trusting.publish("callers", "callers", "m.f")
+    assert trusting.retrieve("callers")["verdict"] == "valid"
+    write(root, "broken.py", "def x(:\n")
+    assert trusting.status()["artifacts"]["callers"] == "UNKNOWN"
+
+
+def test_only_changed_files_are_parsed(spark, tmp_path):
+    files = [("a/__init__.py", "x = 1"), ("a.py", "def no(): pass"), ("b.py", "import a\n\ndef f(): pass\n"), ("c.py", "def (")]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, content string").withColumn("digest", ids.content_hash("content"))
+    first = frame(files)
+    empty = Store(spark, str(tmp_path / "s"))
+    empty.put("facts", syntax.parse_unseen(first, empty.read("facts")))
+    files[2] = ("b.py", "def g(): pass\n")
+    second = frame(files[1:])  # the package is gone, so a.py is the module now
+    assert [r["path"] for r in syntax.unseen(second, empty.read("facts")).collect()] == ["b.py"]
+    empty.put("facts", syntax.parse_unseen(second, empty.read("facts")))
+    for now in (first, second):
+        got, want = syntax.known_facts(now, empty.read("facts")), syntax.index(now)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_store_is_idempotent_and_fails_closed(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     blob = spark.createDataFrame([("x",), ("x",)], "content string")

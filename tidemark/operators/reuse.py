@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.enums import KINDS, SCOPES
-from tidemark.functions.identity import attestation_id, certificate_digest, content_hash, identity, observation_id, projection_id, snapshot_id, verifier_id
+from tidemark.functions.identity import attestation_id, content_hash, identity, observation_id, projection_id, snapshot_id, verifier_id
 from tidemark.operators import delta, history, projections, semantic, syntax, transition
 from tidemark.sources import tree
 from tidemark.sources.store import Store
@@ -46,12 +46,14 @@ class Service:
     results being looked at. A view is observed with its anchor, the path that it was evaluated against, so that a change of that
     path selects it again; a view whose unit does not parse or is not there is unobserved. Views that need a complete
     universe are bound to the universe, the certificate and the indexer they were evaluated under, and looked at again
-    when one of these is another. Callers come from the approximate line scan, which covers every file it is given: what
-    only it supports is not authoritative unless ``trust_scan``. What a result may be trusted with comes from the channels
-    of its derivation.
+    when one of these is another. The certificate is made from the tree: a file that does not parse fails it. Callers and
+    references come from the approximate line scan, which resolves nothing for certain: what it supports is provisional, its
+    completeness is unknown, and nothing that rests on it is served from store, unless the user vouches for it with ``trust_scan``.
+    Facts of syntax are stored by path and digest; a call parses only what has changed since. What a result may be trusted
+    with comes from the channels of its derivation.
     """
 
-    def __init__(self, spark: SparkSession, root: str, store: Store, trust_scan: bool = True):
+    def __init__(self, spark: SparkSession, root: str, store: Store, trust_scan: bool = False):
         self.spark, self.root, self.store, self.trust_scan = spark, root, store, trust_scan
         self.clock = 0
 
@@ -64,9 +66,14 @@ class Service:
     def _files(self) -> DataFrame:
         return tree.as_text(tree.files(self.spark, self.root, suffix=".py", skip_hidden=True))
 
+    def _facts(self, files: DataFrame) -> DataFrame:
+        """Facts of ``files(path, content, digest)``; those of files seen before come from the store."""
+        self.store.put("facts", syntax.parse_unseen(files, self.store.read("facts")))
+        return syntax.known_facts(files, self.store.read("facts"))
+
     def _evaluate(self, keys: DataFrame) -> DataFrame:
-        files = self._hold(self._files())
-        facts = syntax.index(files)
+        files = self._hold(self._files().withColumn("digest", content_hash("content")))
+        facts = self._facts(files)
         edges = syntax.approximate_calls(files)
         both = edges.select(F.lit("callers").alias("relation"), "subject", "member").unionByName(edges.select(F.lit("references").alias("relation"), "subject", "member"))
         units = syntax.units(facts)
@@ -80,9 +87,15 @@ class Service:
     def _context(self, entries: DataFrame) -> DataFrame:
         """One row: the digests of universe and certificate, and the indexer, that views are bound to."""
         universe = semantic.universe_digest(entries.select("path")).select(F.col("digest").alias("universe_digest"))
-        whole = semantic.complete_certificate(universe)
-        names = ["universe_complete", "all_units_participated", "declaration_inventory_complete", "resolved_reference_coverage", "inheritance_relationships", "failures"]
-        return self._hold(whole.select("universe_digest", certificate_digest(*names).alias("coverage_digest"), semantic.indexer_identity(*map(F.lit, INDEXER)).alias("indexer"), semantic.completeness(F.lit("callers")).alias("completeness")))
+        files = self._hold(self._files().withColumn("digest", content_hash("content")))
+        # Both sides are one row.
+        whole = universe.crossJoin(F.broadcast(syntax.unit_coverage(entries.select("path"), syntax.units(self._facts(files)), "established" if self.trust_scan else "unproven")))
+        names = ["universe_complete", "all_units_participated", "declaration_inventory_complete", "resolved_reference_coverage", "inheritance_relationships"]
+        complete = F.lit(True)
+        for name in ("universe_complete", "all_units_participated", "resolved_reference_coverage"):
+            complete &= F.col(name) == "established"
+        digest = identity("coverage.v2", *names, "failed", "failures_digest")
+        return self._hold(whole.select("universe_digest", digest.alias("coverage_digest"), semantic.indexer_identity(*map(F.lit, INDEXER)).alias("indexer"), F.when(complete, "complete").otherwise("unknown").alias("completeness")))
 
     def _bind(self, views: DataFrame, context: DataFrame, snapshot: str, now: int) -> None:
         """``views(projection_id, kind)`` that need a complete universe are bound to what they were evaluated under."""

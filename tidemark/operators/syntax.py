@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.identity import module_of
+from tidemark.functions.identity import module_of, set_digest
 
 FIELDS = "fact string, module string, path string, symbol string, kind string, signature string, is_async boolean, target string, binding string, from_import boolean, start_line int, start_column int, end_line int, end_column int"
 _names = [f.split()[0] for f in FIELDS.split(", ")]
@@ -82,15 +82,19 @@ def facts_of(module: str, path: str, source: str) -> Iterator[dict]:
         waiting += [(child, owner, inside) for child in list(ast.iter_child_nodes(node))[::-1]]
 
 
-def index(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` to facts; of two files of one module the package's ``__init__`` wins."""
-    units = files.select("path", F.col("content").cast("string").alias("content"), module_of("path").alias("module")).where("module IS NOT NULL")
+def winners(files: DataFrame) -> DataFrame:
+    """``files(path, ...)`` with their ``module``; of two files of one module the package's ``__init__`` wins."""
+    units = files.withColumn("module", module_of("path")).where("module IS NOT NULL")
     # Ties are settled on paths; the few that lose go by a join that leaves the contents where they are read.
     paths = units.select("module", "path")
     wins = paths.groupBy("module").agg(F.max("path").alias("plain"), F.max(F.when(F.col("path").endswith("__init__.py"), F.col("path"))).alias("package"), F.count(F.lit(1)).alias("n"))
     tied = wins.where("n > 1").select("module", F.coalesce("package", "plain").alias("winner"))
     losers = paths.join(tied, "module").where("path <> winner").select("path")
-    units = units.join(losers, "path", "left_anti")
+    return units.join(losers, "path", "left_anti")
+
+
+def parse(units: DataFrame) -> DataFrame:
+    """``units(path, content, module)`` to facts, one parse a unit."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +103,29 @@ def index(files: DataFrame) -> DataFrame:
                 rows += [{n: r.get(n) for n in _names} for r in facts_of(module, path, content or "")]
             yield pa.RecordBatch.from_pylist(rows, schema=_schema)
 
-    return units.select("path", "content", "module").mapInArrow(each, FIELDS)
+    return units.select("path", F.col("content").cast("string").alias("content"), "module").mapInArrow(each, FIELDS)
+
+
+def index(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` to facts; of two files of one module the package's ``__init__`` wins."""
+    return parse(winners(files.select("path", "content")))
+
+
+def unseen(files: DataFrame, known: DataFrame) -> DataFrame:
+    """``files(path, content, digest)`` that the facts ``known(path, digest, ...)`` do not cover: all that has to be parsed."""
+    units = files.select("path", "content", "digest").withColumn("module", module_of("path")).where("module IS NOT NULL")
+    return units.join(known.where("fact = 'unit'").select("path", "digest"), ["path", "digest"], "left_anti")
+
+
+def parse_unseen(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Facts with ``digest`` of what ``known`` lacks, to be added to it."""
+    new = unseen(files, known)
+    return parse(new).join(new.select("path", "digest"), "path")
+
+
+def known_facts(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The facts of ``files(path, digest)`` out of ``known``, which covers them: equal to ``index`` of the same files."""
+    return known.join(winners(files.select("path", "digest")).select("path", "digest"), ["path", "digest"], "left_semi").select(*_names)
 
 
 def definitions(facts: DataFrame) -> DataFrame:
@@ -130,6 +156,24 @@ def certificate(universe: DataFrame, units_: DataFrame) -> DataFrame:
     return joined.select(F.lit("established").alias("universe_complete"), state.alias("all_units_participated"), state.alias("declaration_inventory_complete"), F.when(bad, "failed").otherwise("unproven").alias("resolved_reference_coverage"), F.lit("unproven").alias("inheritance_relationships"), "failures")
 
 
+def lacking(universe: DataFrame, units_: DataFrame) -> DataFrame:
+    """The paths of ``universe(path)`` that have no unit or one that does not parse, a row each."""
+    read = units_.where("status = 'parsed'").select("path")
+    return universe.select("path").distinct().join(read, "path", "left_anti")
+
+
+def unit_coverage(universe: DataFrame, units_: DataFrame, references: str = "unproven") -> DataFrame:
+    """The certificate in one row of a fixed size: five states, the number of failures and their set's digest.
+
+    ``references`` is what holds for resolved references where every unit took part; no source of syntax alone establishes them.
+    """
+    bad = lacking(universe, units_)
+    one = set_digest(bad, "path", tag="failures.v1").select(F.col("entries").alias("failed"), F.col("digest").alias("failures_digest"))
+    state = F.when(F.col("failed") > 0, "failed").otherwise("established")
+    refs = F.when(F.col("failed") > 0, "failed").otherwise(references)
+    return one.select(F.lit("established").alias("universe_complete"), state.alias("all_units_participated"), state.alias("declaration_inventory_complete"), refs.alias("resolved_reference_coverage"), F.lit("unproven").alias("inheritance_relationships"), "failed", "failures_digest")
+
+
 def unit_inventory(definitions_: DataFrame) -> DataFrame:
     """Locations of symbols, to be recorded."""
     return definitions_.select("symbol", "module", F.col("path").alias("source_path")).distinct()

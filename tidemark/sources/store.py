@@ -23,6 +23,7 @@ SCHEMAS = {
     "bindings": "projection_id string, snapshot_id string, universe_digest string, coverage_digest string, indexer string, completeness string, seq long",
     "registry": "key string, artifact_id string, kind string, created_at long",
     "manifests": "manifest_id string, path string, digest string",
+    "facts": "digest string, fact string, module string, path string, symbol string, kind string, signature string, is_async boolean, target string, binding string, from_import boolean, start_line int, start_column int, end_line int, end_column int",
     "ledger": "ts_ms long, op string, key string, subject string, tag string, elapsed_us long",
 }
 KEYS = {"blobs": ["blob_id"], "snapshots": ["snapshot_id"], "derivations": ["derivation_id"], "artifacts": ["artifact_id"], "observations": ["observation_id"], "attestations": ["attestation_id"], "symbol_locations": ["symbol", "module", "source_path"], "artifact_dependencies": ["artifact_id", "projection_id"]}
