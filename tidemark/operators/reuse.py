@@ -198,11 +198,14 @@ class Service:
         producer = F.struct(F.lit("service").alias("harness"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("model"))
         self.store.put("derivations", derived.select("*", history.capture_trust("channels").alias("capture_trust"), producer.alias("producer")))
         self.store.put("artifacts", one.select("*", F.lit(None).cast("string").alias("proposition"), F.lit(None).alias("cost")))
-        self._bind(seen, self._context(self.store.read("manifests").where(F.col("manifest_id") == self._head()[1])), snapshot, now)
+        context = self._context(self.store.read("manifests").where(F.col("manifest_id") == self._head()[1]))
+        self._bind(seen, context, snapshot, now)
+        # As in a transition: what needs a complete universe is not decided without one.
+        decided = context.first()["completeness"] == "complete" or not any(KINDS[k][3] for k, _ in views)
         self.store.put("artifact_dependencies", rows.select(F.lit(artifact).alias("artifact_id"), "projection_id", F.lit(0).alias("position")))
         authoritative = seen.agg(F.bool_and("authoritative")).first()[0]
         evidence = rows.agg(F.array_sort(F.collect_list("observation_id")).alias("evidence"))
-        a = evidence.select(F.lit(artifact).alias("artifact_id"), F.lit(snapshot).alias("snapshot_id"), F.lit("VALID").alias("validity"), F.lit("authoritative" if authoritative else "provisional").alias("authority"), F.lit("structural").alias("level"), verifier_id(F.lit(transition.SET_EQUALITY)).alias("verifier"), "evidence", F.lit(now).cast("long").alias("created_at"))
+        a = evidence.select(F.lit(artifact).alias("artifact_id"), F.lit(snapshot).alias("snapshot_id"), F.lit("VALID" if decided else "UNKNOWN").alias("validity"), F.lit("authoritative" if authoritative else "provisional").alias("authority"), F.lit("structural" if decided else "unverified").alias("level"), F.when(F.lit(decided), verifier_id(F.lit(transition.SET_EQUALITY))).alias("verifier"), "evidence", F.lit(now).cast("long").alias("created_at"))
         a = self._hold(a.withColumn("attestation_id", attestation_id("artifact_id", "snapshot_id", "validity", "authority", "level", "verifier", F.array_join("evidence", ","), "created_at")))
         self.store.put("attestations", history.admitted(a, self.store.read("attestations"), self.store.read("artifacts")))
         self.store.put("registry", self.spark.createDataFrame([(key, artifact, kind, now)], "key string, artifact_id string, kind string, created_at long"))
