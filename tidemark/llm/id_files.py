@@ -33,7 +33,7 @@ MAGIC = b"TIDEIDS1"
 TAIL = struct.Struct("<QQQ")  # where the directory is, its length, its crc32
 END = (2).to_bytes(4, "little")
 NULL_ID = -(1 << 63)
-#: Words a worker holds the ids of: some 350 MB, as a worker has little else to hold here.
+#: Pieces of texts a worker holds the ids of: 350 MB at most, as a worker has little else to hold here.
 UNITS = 1_000_000
 
 
