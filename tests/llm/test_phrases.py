@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import phrases
@@ -69,3 +70,29 @@ def test_packing_round_trip():
     for n in (1, 2, 1000):
         numbers = rng.integers(0, 2**32, n, dtype=np.uint32)
         assert (phrases.unpacked(phrases.packed(numbers), n) == numbers).all()
+
+
+def test_blocks_wait_for_their_language(monkeypatch):
+    monkeypatch.setattr(phrases, "BYTES", 1000)
+    texts = [(lang, b"some words %d" % i) for i in range(600) for lang in ("en", "fr", "de", "xx")]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in texts]), pa.array([x for _, x in texts])], names=["lang", "text"])
+    found = list(phrases.blocks(iter([batch]), 3))
+    for lang in ("en", "fr", "de", "xx"):
+        own = [data for at, data, _ in found if at == lang]
+        assert b"\n".join(own).split() == b"\n".join(t for at, t in texts if at == lang).split()
+        assert all(len(data) > 900 for data in own[:-1])
+
+
+def test_little_goes_through_shuffles(spark, monkeypatch):
+    """No table of the first pass is written besides its shuffle, and the second pass sends phrases packed."""
+    names = []
+    monkeypatch.setattr(phrases, "spill", lambda df, name: names.append(name) or df)
+    rng = random.Random(3)
+    texts = [("en", " ".join(f"w{rng.randrange(300)}" for _ in range(4000))) for _ in range(20)]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(docs).collect())) == brute(texts)
+    assert names == ["phrases"]
+    every = type("", (), {"value": b"\xff" * (phrases.FILTER // 8)})
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in texts]), pa.array([x.encode() for _, x in texts])], names=["lang", "text"])
+    rows = pa.Table.from_batches(phrases.counted(3, every, 6)(iter([batch])))
+    assert 10 * (rows["phrases"].nbytes + rows["counts"].nbytes) < 6 * pa.compute.sum(rows["size"]).as_py()

@@ -6,13 +6,13 @@ blocks of a few million bytes of one language; a very long text is cut between w
 First pass: every phrase of one to ``longest`` words has a 64-bit hash. Its first bits name a bucket, the next 32 are its key there,
 and a block sends each bucket its keys and counts, packed. Every bucket has its own summary: blocks are merged into it, and
 whenever it holds more keys than its capacity, the count of the first key beyond it is taken off all and those at zero go. The
-capacity is ``ROOM`` times the mass of the heaviest bucket over the threshold, so less than threshold / ``ROOM`` is taken off in all;
+capacity is ``ROOM`` times the bucket's mass over the threshold, so less than threshold / ``ROOM`` is taken off in all;
 a key whose count and what was taken off reach the threshold survives. So every phrase with ``threshold`` occurrences survives: keys
 that coincide only add counts. The number of buckets grows with the mass, so a summary stays small.
 Second pass: survivors mark a bitmap of ``FILTER`` bits, a fixed size, that all tasks hold. Blocks count the phrases that it marks and
-whose parts it marks (a phrase is no more frequent than its parts), and these counts are summed by the phrase itself, which is exact:
-what the bitmap lets through wrongly is counted and found to be under the threshold. The more survivors there are for the
-bitmap, the more goes through; results are the same.
+whose parts it marks (a phrase is no more frequent than its parts), and send each bucket its phrases in order with their counts, compressed.
+A bucket sums them by the phrase itself, which is exact: what the bitmap lets through wrongly is counted and found to be under the
+threshold. The more survivors there are for the bitmap, the more goes through; results are the same.
 
 A candidate of two words or more is cut after each of its words; l and r are the counts of the parts, the score is
 floor(1000000 * a * a / (l * r)), and the lowest-scoring cut counts (ties: the first). All of it is in decimals of 38 digits,
@@ -42,8 +42,8 @@ from tidemark.llm.workers import lean
 
 #: The contract's marks between pieces, and spaces between words. Fixed values.
 MARKS, SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
-#: Bytes whose phrases are counted together, the mass that makes another bucket, spare capacity of summaries, bits of the filter.
-BYTES, MASS, ROOM, FILTER = 3_000_000, 8_000_000, 4, 2**27
+#: Bytes whose phrases are counted together, such blocks that wait for more of their language, the mass that makes another bucket, spare capacity of summaries, bits of the filter.
+BYTES, WAITING, MASS, ROOM, FILTER = 3_000_000, 4, 8_000_000, 4, 2**27
 SALTS = 64
 
 _class = np.zeros(256, np.uint8)
@@ -54,30 +54,33 @@ _gap = re.compile(b"[" + re.escape(SPACES + MARKS) + b"]+")
 def blocks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str, bytes, int]]:
     """Batches of (lang, text) to (lang, lower-cased bytes, limit): phrases that begin before the limit are the block's own."""
     waiting: dict[str, list[bytes]] = {}
-    size = 0
-
-    def flush() -> Iterator[tuple[str, bytes, int]]:
-        for lang, texts in waiting.items():
-            whole, at = b"\n".join(texts).lower(), 0
-            while at < len(whole):
-                gap = _gap.search(whole, at + BYTES)
-                end = far = gap.end() if gap else len(whole)
-                for _ in range(longest - 1):
-                    gap = _gap.search(whole, far)
-                    far = gap.end() if gap else len(whole)
-                yield lang, whole[at:far], end - at
-                at = end
-        waiting.clear()
+    sizes: dict[str, int] = {}
+    total = 0
+
+    def flush(lang: str) -> Iterator[tuple[str, bytes, int]]:
+        whole, at = b"\n".join(waiting.pop(lang)).lower(), 0
+        del sizes[lang]
+        while at < len(whole):
+            gap = _gap.search(whole, at + BYTES)
+            end = far = gap.end() if gap else len(whole)
+            for _ in range(longest - 1):
+                gap = _gap.search(whole, far)
+                far = gap.end() if gap else len(whole)
+            yield lang, whole[at:far], end - at
+            at = end
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            waiting.setdefault(lang.as_py(), []).append(text)
-            size += len(text)
-            if size > BYTES:
-                yield from flush()
-                size = 0
-    yield from flush()
+            lang, text = lang.as_py(), text.as_py()
+            full = lang if sizes.get(lang, 0) + len(text) > BYTES else max(sizes, key=sizes.get) if total > WAITING * BYTES else None
+            if full in sizes:
+                total -= sizes[full]
+                yield from flush(full)
+            waiting.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+            total += len(text) + 1
+    for lang in list(waiting):
+        yield from flush(lang)
 
 
 class Block:
@@ -174,48 +177,49 @@ class Summary:
         return self.keys[self.counts + self.off >= threshold]
 
 
-def summarised(capacity: int, threshold: int, bits: int):
+def summarised(threshold: int, bits: int):
     """A task's function: the rows of whole buckets, one bucket after the other, to (bucket, marks): the bucket's part of the bitmap."""
     width = FILTER >> bits
 
-    def marks(bucket: int, summary: Summary) -> pa.RecordBatch:
+    def marks(bucket: int, rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        summary = Summary(ROOM * sum(mass for mass, *_ in rows) // threshold + 1)
+        for _, n, keys, counts in rows:
+            summary.add(np.cumsum(unpacked(keys, n), dtype=np.uint32), unpacked(counts, n).astype(np.int64))
         held = np.zeros(width, np.uint8)
         held[summary.survivors(threshold) // np.uint32(2**32 // width)] = 1
         return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "marks": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
 
     @lean
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, summary = None, None
+        at, rows = None, []  # a bucket's rows as they came, packed
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, n, keys, counts = (batch.column(c)[i].as_py() for c in ("bucket", "entries", "keys", "counts"))
-                if bucket != at:
-                    if summary:
-                        yield marks(at, summary)
-                    at, summary = bucket, Summary(capacity)
-                summary.add(np.cumsum(unpacked(keys, n), dtype=np.uint32), unpacked(counts, n).astype(np.int64))
-        if summary:
-            yield marks(at, summary)
+                bucket, *row = (batch.column(c)[i].as_py() for c in ("bucket", "mass", "entries", "keys", "counts"))
+                if bucket != at and rows:
+                    yield marks(at, rows)
+                    rows = []
+                at = bucket
+                rows.append(tuple(row))
+        if rows:
+            yield marks(at, rows)
 
     return each
 
 
-def counted(longest: int, bitmap):
-    """A task's function: batches of (lang, text) to partial counts (lang, phrase, words, n) of marked phrases; words = 0 has the number of all words."""
+def counted(longest: int, bitmap, bits: int):
+    """A task's function: batches of (lang, text) to (bucket, lang, entries, size, phrases, counts), a row for a block and bucket of 2**bits.
+
+    ``phrases`` are the block's marked ones in order, a line each, compressed from ``size`` bytes; the empty one (bucket 0) counts all words.
+    """
 
     @lean
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(bitmap.value, np.uint8)
         shift = np.uint64(64 - (FILTER.bit_length() - 1))
-
-        def rows(lang: str, phrases: pa.Array, k: int, n: pa.Array) -> Iterator[pa.RecordBatch]:
-            whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), phrases.cast(pa.binary()), pa.repeat(pa.scalar(k, pa.int32()), len(n)), n], names=["lang", "phrase", "words", "n"])
-            yield from (whole.slice(i, 50_000) for i in range(0, len(n), 50_000))
-
         for block in blocks(batches, longest):
             b = Block(*block, longest)
-            yield from rows(block[0], pa.array([b""], pa.large_binary()), 0, pa.array([b.own], pa.int64()))
             ids = parts = None
+            phrases, hashes, counts = [pa.array([b""], pa.large_binary())], [np.zeros(1, np.uint64)], [np.array([b.own])]
             for k in range(1, longest + 1):
                 slot = b.hashes[k - 1] >> shift
                 hit = b.there[k - 1] & ((marked[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
@@ -233,7 +237,71 @@ def counted(longest: int, bitmap):
                 seen = np.flatnonzero(n)
                 starts = at[first[seen]]
                 words = [b.vocabulary.take(pa.array(b.codes[starts + j])) for j in range(k)]
-                yield from rows(block[0], pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())), k, pa.array(n[seen], pa.int64()))
+                phrases.append(pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())))
+                hashes.append(b.hashes[k - 1][starts])
+                counts.append(n[seen])
+            buckets, n = (np.concatenate(hashes) >> np.uint64(64 - bits)).astype(np.int32), np.concatenate(counts)
+            order = pc.sort_indices(pa.table({"bucket": buckets, "phrase": (whole := pa.concat_arrays(phrases))}), [("bucket", "ascending"), ("phrase", "ascending")])
+            whole, n = whole.take(order), n[order.to_numpy()]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(buckets, minlength=2**bits))])
+            full = np.flatnonzero(np.diff(edges))
+            for some in np.array_split(full, len(full) // 1000 + 1):
+                cuts = [slice(edges[i], edges[i + 1]) for i in some]
+                lines = [b"\n".join(whole[c].to_numpy(zero_copy_only=False)) + b"\n" for c in cuts]
+                columns = [pa.array(some, pa.int32()), pa.repeat(pa.scalar(block[0], pa.string()), len(some)), pa.array([c.stop - c.start for c in cuts], pa.int32()), pa.array([len(x) for x in lines], pa.int64())]
+                columns += [pa.array([pa.compress(x, "zstd", asbytes=True) for x in lines], pa.binary()), pa.array([packed(n[c]) for c in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "entries", "size", "phrases", "counts"])
+
+    return each
+
+
+class Sums:
+    """Counts by phrase."""
+
+    def __init__(self) -> None:
+        self.waiting: list[pa.Table] = []
+        self.size = self.merged = 0
+
+    def add(self, lines: bytes, counts: np.ndarray) -> None:
+        raw = np.frombuffer(lines, np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+        phrases = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10])])
+        self.waiting.append(pa.table({"phrase": phrases, "n": counts.astype(np.int64)}))
+        self.size += len(ends)
+        if self.size > max(500_000, self.merged):
+            self.merge()
+
+    def merge(self) -> pa.Table:
+        whole = pa.concat_tables(self.waiting).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+        whole = pa.table({"phrase": whole["phrase"], "n": whole["n_sum"]})
+        self.waiting, self.size, self.merged = [whole], 0, len(whole)
+        return whole
+
+
+def summed(threshold: int):
+    """A task's function: the rows of whole buckets, one bucket after the other, to (lang, phrase, words, a) with a >= threshold or words = 0."""
+
+    def known(sums: dict[str, Sums]) -> Iterator[pa.RecordBatch]:
+        for lang, own in sums.items():
+            whole = own.merge()
+            words = np.where(pc.binary_length(whole["phrase"]).to_numpy() == 0, 0, pc.count_substring(whole["phrase"], " ").to_numpy() + 1)
+            kept = pa.array((words == 0) | (whole["n"].to_numpy() >= threshold))
+            found = pa.table({"phrase": whole["phrase"], "words": words.astype(np.int32), "a": whole["n"]}).filter(kept)
+            found = found.add_column(0, "lang", pa.repeat(pa.scalar(lang, pa.string()), len(found)))
+            yield from found.cast(pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("a", pa.int64())])).to_batches(50_000)
+
+    @lean
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, lang, n, size, phrases, counts = (batch.column(c)[i].as_py() for c in ("bucket", "lang", "entries", "size", "phrases", "counts"))
+                if bucket != at:
+                    yield from known(sums)
+                    at, sums = bucket, {}
+                sums.setdefault(lang, Sums()).add(pa.decompress(phrases, size, "zstd", asbytes=True), unpacked(counts, n))
+        yield from known(sums)
 
     return each
 
@@ -244,22 +312,21 @@ def frequent(texts: DataFrame, longest: int, threshold: int) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word has seven bytes or so, and a phrase of each length begins at it.
     bits = min(24, max(6, (longest * size // 7 // MASS).bit_length()))
-    blocked = spill(texts.mapInArrow(dealt(longest, bits), "bucket int, mass long, entries int, keys binary, counts binary"), "blocked")
-    heaviest = blocked.groupBy("bucket").agg(F.sum("mass").alias("m")).agg(F.max("m")).first()[0] or 0
-    capacity = ROOM * heaviest // threshold + 1
+    blocked = texts.mapInArrow(dealt(longest, bits), "bucket int, mass long, entries int, keys binary, counts binary")
     whole = blocked.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
     bitmap = bytearray(FILTER // 8)
     part = (FILTER >> bits) // 8 or 1
     # FILTER bits in all, whatever the input.
-    for bucket, marks in whole.mapInArrow(summarised(capacity, threshold, bits), "bucket int, marks binary").toLocalIterator():
+    for bucket, marks in whole.mapInArrow(summarised(threshold, bits), "bucket int, marks binary").toLocalIterator():
         at = bucket * (FILTER >> bits)
         if FILTER >> bits >= 8:
             bitmap[at // 8 : at // 8 + part] = marks
         else:
             bitmap[at // 8] |= marks[0] << at % 8
     shared = spark.sparkContext.broadcast(bytes(bitmap))
-    counts = texts.mapInArrow(counted(longest, shared), "lang string, phrase binary, words int, n long")
-    return counts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("n").alias("a")).where((F.col("a") >= threshold) | (F.col("words") == 0))
+    counts = texts.mapInArrow(counted(longest, shared, bits), "bucket int, lang string, entries int, size long, phrases binary, counts binary")
+    whole = counts.repartition(2**bits, "bucket").sortWithinPartitions("bucket")
+    return whole.mapInArrow(summed(threshold), "lang string, phrase binary, words int, a long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def collocations(docs: DataFrame, longest: int = 3, threshold: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
