@@ -60,22 +60,38 @@ def anchored(keys_: DataFrame, units: DataFrame) -> DataFrame:
     return named.select(*keys_.columns, anchor.alias("anchor"), F.coalesce("unit_parsed", F.lit(False)).alias("parsed"))
 
 
-def _readable(keys_: DataFrame, units: DataFrame | None) -> DataFrame:
-    return keys_.withColumn("parsed", F.lit(True)) if units is None else anchored(keys_, units)
+def local(keys_: DataFrame, definitions: DataFrame | None = None, imports_: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+    """``keys_`` of the ``LOCAL`` kinds with their ``value``, and ``anchor`` where ``units`` or an ``anchored`` frame says it; keys of other kinds are left out.
 
-
-def _of_symbol(keys_: DataFrame, facts: DataFrame, value, units: DataFrame | None) -> DataFrame:
-    first = facts.groupBy(F.col("symbol").alias("subject")).agg(F.min_by(value, F.struct("start_line", "start_column")).alias("found"))
-    return _readable(keys_, units).join(first, "subject", "left").select("projection_id", F.when(F.col("parsed"), F.coalesce("found", F.lit("absent"))).alias("value"))
+    All kinds go through one join with what the facts say, and their units are looked up once, not once a kind. A kind without facts is unobserved.
+    """
+    asked = [k for k, there in zip(LOCAL, (definitions, definitions, imports_), strict=True) if there is not None]
+    keyed = keys_.where(F.col("kind").isin(*LOCAL))
+    if "parsed" not in keyed.columns:
+        keyed = keyed.withColumn("parsed", F.lit(True)) if units is None else anchored(keyed, units)
+    facts = []
+    if definitions is not None:
+        at, symbol = F.struct("start_line", "start_column"), F.col("symbol").alias("subject")
+        both = definitions.groupBy(symbol).agg(F.min_by(F.concat_ws("@", "kind", "symbol"), at).alias("d"), F.min_by("signature", F.when(F.col("signature").isNotNull(), at)).alias("s"))
+        rows = F.array(F.struct(F.lit("definition").alias("kind"), F.col("d").alias("found")), F.struct(F.lit("signature").alias("kind"), F.col("s").alias("found")))
+        facts.append(both.select("subject", F.explode(rows).alias("f")).select("f.kind", "subject", "f.found"))
+    if imports_ is not None:
+        line = F.concat("target", F.lit(" as "), "binding", F.lit(" ("), F.col("from_import").cast("string"), F.lit(")"))
+        facts.append(imports_.groupBy(F.col("module").alias("subject")).agg(set_value(line).alias("found")).select(F.lit("imports").alias("kind"), "subject", "found"))
+    if not facts:
+        return keyed.withColumn("value", F.lit(None).cast("string"))
+    nothing = F.when(F.col("kind") == "imports", "").otherwise("absent")
+    value = F.when(F.col("parsed") & F.col("kind").isin(*asked), F.coalesce("found", nothing))
+    return keyed.join(reduce(DataFrame.unionByName, facts), ["kind", "subject"], "left").withColumn("value", value).drop("found")
 
 
 def definition(keys_: DataFrame, definitions: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """``kind@symbol`` of the first definition of a symbol. With ``units``, a symbol of a unit that is not there or does not parse is unobserved."""
-    return _of_symbol(keys_, definitions, F.concat_ws("@", "kind", "symbol"), units)
+    return local(keys_, definitions, units=units).select("projection_id", "value")
 
 
 def signature(keys_: DataFrame, definitions: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    return _of_symbol(keys_, definitions.where("signature IS NOT NULL"), F.col("signature"), units)
+    return local(keys_, definitions, units=units).select("projection_id", "value")
 
 
 def relation(keys_: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -102,9 +118,7 @@ def relation_digest(keys_: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 
 def imports(keys_: DataFrame, imports_: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    line = F.concat("target", F.lit(" as "), "binding", F.lit(" ("), F.col("from_import").cast("string"), F.lit(")"))
-    sets = imports_.groupBy(F.col("module").alias("subject")).agg(set_value(line).alias("found"))
-    return _readable(keys_, units).join(sets, "subject", "left").select("projection_id", F.when(F.col("parsed"), F.coalesce("found", F.lit(""))).alias("value"))
+    return local(keys_, imports_=imports_, units=units).select("projection_id", "value")
 
 
 def unsupported(keys_: DataFrame, served: list[str]) -> DataFrame:
@@ -145,14 +159,13 @@ def evaluate(keys_: DataFrame, manifest=None, definitions=None, edges=None, impo
 
     if manifest is not None:
         serve("file", file(of("file"), manifest))
-    if definitions is not None:
-        serve("definition", definition(of("definition"), definitions, units))
-        serve("signature", signature(of("signature"), definitions, units))
+    if definitions is not None or imports_ is not None:
+        kinds = [k for k, there in zip(LOCAL, (definitions, definitions, imports_), strict=True) if there is not None]
+        served += kinds
+        parts.append(local(keys_.where(F.col("kind").isin(*kinds)), definitions, imports_, units).select("projection_id", "value"))
     if edges is not None:
         for name in RELATIONS:
             serve(name, relation(of(name), edges, name))
-    if imports_ is not None:
-        serve("imports", imports(of("imports"), imports_, units))
     if fingerprint is not None:
         for kind in ("config_value", "tool_version"):
             serve(kind, environment_value(of(kind), fingerprint))

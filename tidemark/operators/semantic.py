@@ -142,9 +142,11 @@ def resolve_symbols(symbols: DataFrame, modules: DataFrame) -> DataFrame:
     """Each ``symbol`` with the longest indexed module that is a proper prefix of it, and what is nested in it."""
     parts = F.split("symbol", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), ".").alias("module")))
-    exploded = symbols.select("symbol").distinct().where(F.size(parts) >= 2).select("symbol", F.explode(prefixes).alias("p")).select("symbol", "p.n", "p.module")
-    found = exploded.join(modules.select("module").distinct(), "module").groupBy("symbol").agg(F.max_by("module", "n").alias("module"))
+    # A symbol without a dot has no prefix and keeps its row all the same, so what is found needs no join with the symbols again.
+    exploded = symbols.select("symbol").distinct().select("symbol", F.explode_outer(F.when(F.size(parts) >= 2, prefixes)).alias("p")).select("symbol", "p.n", "p.module")
+    known = modules.select("module").distinct().withColumn("known", F.lit(True))
+    found = exploded.join(known, "module", "left").groupBy("symbol").agg(F.max(F.when(F.col("known"), F.struct("n", "module"))).alias("best")).select("symbol", "best.module")
     nested = F.substring(F.col("symbol"), F.length("module") + 2, F.length("symbol"))
-    return symbols.select("symbol").distinct().join(found, "symbol", "left").select("symbol", "module", nested.alias("nesting"))
+    return found.select("symbol", "module", nested.alias("nesting"))
 
 

@@ -85,11 +85,9 @@ def facts_of(module: str, path: str, source: str) -> Iterator[dict]:
 def winners(files: DataFrame) -> DataFrame:
     """``files(path, ...)`` with their ``module``; of two files of one module the package's ``__init__`` wins."""
     units = files.withColumn("module", module_of("path")).where("module IS NOT NULL")
-    # Ties are settled on paths; the few that lose go by a join that leaves the contents where they are read.
-    paths = units.select("module", "path")
-    wins = paths.groupBy("module").agg(F.max("path").alias("plain"), F.max(F.when(F.col("path").endswith("__init__.py"), F.col("path"))).alias("package"), F.count(F.lit(1)).alias("n"))
-    tied = wins.where("n > 1").select("module", F.coalesce("package", "plain").alias("winner"))
-    losers = paths.join(tied, "module").where("path <> winner").select("path")
+    # Ties are settled on paths, of which a module has two at most; the few that lose go by a join that leaves the contents where they are read.
+    wins = units.groupBy("module").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.max(F.when(F.col("path").endswith("__init__.py"), F.col("path"))).alias("package"))
+    losers = wins.where("low <> high").select(F.when(F.coalesce("package", "high") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("path"))
     return units.join(losers, "path", "left_anti")
 
 

@@ -800,6 +800,13 @@ def _scratch(spark) -> str:
     return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` written where all executors see it and read back, for what would be computed again at each use."""
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query("SELECT DISTINCT 'sha256:'||sha256(text) AS blob_id, octet_length(encode(text)) AS n_bytes FROM documents WHERE text IS NOT NULL")
 def blob_put(spark, sf):
     """Put twice, there once."""
@@ -839,13 +846,11 @@ def unsupported_views(spark, sf):
 def views_of_units(spark, sf):
     """Signatures and imports with their anchors; a unit that does not parse or is not there leaves a view unobserved, never absent."""
     s = _sources(spark, sf)
-    facts, n = syntax.index(s), _s("p_partkey")
+    facts, n = _held(syntax.index(s)), _s("p_partkey")  # read for units, definitions and imports, parsed once
     p = w.table(spark, sf, "part")
     names = [F.concat(F.lit("src.m"), n, F.lit(".f"), n), F.concat(F.lit("src.m"), n, F.lit(".gone")), F.concat(F.lit("nowhere.f"), n)]
     k = projections.keys(p.select(F.explode(F.array(*names)).alias("subject")), "signature").unionByName(projections.keys(p.select(F.concat(F.lit("src.m"), n).alias("subject")), "imports"))
-    u = syntax.units(facts)
-    found = projections.evaluate(k, definitions=syntax.definitions(facts), imports_=syntax.imports(facts), units=u)
-    return projections.anchored(k, u).join(found, "projection_id").select("kind", "subject", "value", "anchor")
+    return projections.local(k, syntax.definitions(facts), syntax.imports(facts), syntax.units(facts)).select("kind", "subject", "value", "anchor")
 
 
 @query("SELECT p_partkey, array_to_string(list_sort([p_brand, p_type, p_name]), chr(31)) AS fields, p_brand AS brand, replace('pkg.m'||p_partkey,'.','/')||'.py' AS path FROM part")
