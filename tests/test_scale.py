@@ -43,3 +43,30 @@ def test_longest_module_in_one_join(spark):
     df = semantic.resolve_symbols(symbols, spark.createDataFrame([("a",), ("a.b",), ("a.b.c",)], "module string"))
     assert sorted(map(tuple, df.collect())) == [("a", None, None), ("a.b", "a", "b"), ("a.b.c", "a.b", "c"), ("x.y", None, None)]
     assert len(re.findall(r"\w+Join ", plan(df))) == 1
+
+
+def test_pins_of_views_observed_once_are_not_grouped(spark):
+    """The last observation of each view; ids named twice, views observed twice, an older attestation, ids as text and as bytes."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import identity as ids
+    from tidemark.operators import transition
+
+    a, b = "sha256:" + "a" * 64, "sha256:" + "b" * 64
+    obs = spark.createDataFrame([(a, "v1", "d1"), (b, "v2", "d2"), ("o3", "v3", "d3"), ("o4", "v3", "d4")], "observation_id string, projection_id string, digest string")
+    att = spark.createDataFrame([("x", 2, [a, "o4", a, "o3", "o4", "?"]), ("x", 1, [b]), ("y", 1, ["o4", b, "o3"])], "artifact_id string, seq long, evidence array<string>")
+    wanted = [("x", "v1", "d1"), ("x", "v3", "d4"), ("y", "v2", "d2"), ("y", "v3", "d3")]
+    df = transition.pins(att, obs)
+    assert sorted(map(tuple, df.collect())) == wanted
+    packed = att.withColumn("evidence", F.transform("evidence", lambda x: ids.packed(x)))
+    assert sorted(map(tuple, transition.pins(packed, obs.withColumn("observation_id", ids.packed("observation_id"))).collect())) == wanted
+    assert not any("observation_id" in x for x in exchanges(df))  # 71 characters of an id; packed ones go
+
+
+def test_shuffles_of_a_transition_carry_no_digests(spark):
+    """Pins and touched views met under artifact and view with their digests and values; both were computed twice for attestations."""
+    df = registry._decided(spark, SF)
+    by_pair = [x for x in exchanges(df) if "artifact_id" in x and "," in x]
+    assert by_pair and all("view" in x and "projection_id" not in x for x in by_pair)
+    for q in (registry.transition_attestations, registry.attestation_identity, registry.status):
+        assert "o_orderkey" not in plan(q(spark, SF))  # what they read twice was written before: orders and line items are not joined again

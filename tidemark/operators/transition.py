@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.identity import attestation_id, content_hash, verifier_id
+from tidemark.functions.identity import attestation_id, content_hash, packed, verifier_id
 
 SET_EQUALITY, ABSENCE = "set-equality.v1", "absence-fact.v1"
 
@@ -44,10 +44,21 @@ def latest(attestations: DataFrame) -> DataFrame:
 def pins(attestations: DataFrame, observations: DataFrame) -> DataFrame:
     """``(artifact_id, projection_id, pinned)``: the digest of the last observation of a view in the latest attestation's evidence.
 
-    ``attestations(artifact_id, seq, evidence array<observation id>)``, ``observations(observation_id, projection_id, digest)``.
+    ``attestations(artifact_id, seq, evidence array<observation id>)``, ``observations(observation_id, projection_id, digest)``;
+    observation ids are texts, or on both sides the bytes that ``packed`` makes of them. Of a view that was observed once an
+    artifact has one pin, when its evidence names no observation twice; only pins of the other views are grouped.
     """
-    evidence = latest(attestations).select("artifact_id", F.posexplode("evidence").alias("pos", "observation_id"))
-    return evidence.join(observations.select("observation_id", "projection_id", "digest"), "observation_id").groupBy("artifact_id", "projection_id").agg(F.max_by("digest", "pos").alias("pinned"))
+    texts = dict(observations.dtypes)["observation_id"] == "string"
+    own = packed("observation_id") if texts else F.col("observation_id")
+    ids = F.transform("evidence", lambda x: packed(x)) if texts else F.col("evidence")
+    last = F.reverse(F.array_distinct(F.reverse("evidence")))  # each observation where it comes last
+    evidence = latest(attestations.select("artifact_id", "seq", ids.alias("evidence"))).select("artifact_id", F.posexplode(last).alias("pos", "of"))
+    times = observations.groupBy("projection_id").agg(F.count(F.lit(1)).alias("times"))
+    seen = observations.select(own.alias("of"), "projection_id", "digest").join(times, "projection_id")
+    # Both read ``pos``, so that they share the shuffle of the evidence.
+    once = evidence.join(seen.where("times = 1"), "of").select("artifact_id", "projection_id", F.when(F.col("pos") >= 0, F.col("digest")).alias("pinned"))
+    often = evidence.join(seen.where("times > 1"), "of").groupBy("artifact_id", "projection_id").agg(F.max_by("digest", "pos").alias("pinned"))
+    return once.unionByName(often)
 
 
 def verdicts(changed: DataFrame, dependencies: DataFrame, pinned: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -58,13 +69,20 @@ def verdicts(changed: DataFrame, dependencies: DataFrame, pinned: DataFrame, art
     touched view is the empty set. Without a pin or a value nothing is decided; what holds with unknown completeness
     is not decided either, what fails stays failed.
     """
-    touched = changed.join(dependencies, "projection_id").join(pinned, ["artifact_id", "projection_id"], "left")
+    # A pin meets its view first, so that of all digests and values only flags move on, under packed ids, and only for changed views.
+    facts = changed.select(
+        "projection_id", "digest", F.col("value").isNotNull().alias("observed"), F.coalesce(F.col("value") == "", F.lit(False)).alias("empty"),
+        F.coalesce(F.col("completeness") == "unknown", F.lit(False)).alias("unproven"), F.coalesce("authoritative", F.lit(False)).alias("authoritative"),
+    )
+    at = packed("projection_id").alias("view")
+    held = pinned.join(facts.select("projection_id", "digest"), "projection_id").select("artifact_id", at, F.col("pinned").isNotNull().alias("pinned"), F.coalesce(F.col("pinned") == F.col("digest"), F.lit(False)).alias("equal"))
+    touched = facts.join(dependencies.where("artifact_id IS NOT NULL"), "projection_id").select("artifact_id", at, "observed", "empty", "unproven", "authoritative").join(held, ["artifact_id", "view"], "left")
     grouped = touched.groupBy("artifact_id").agg(
-        F.bool_and(F.col("pinned").isNotNull() & F.col("value").isNotNull()).alias("decidable"),
-        F.bool_and(F.coalesce(F.col("pinned") == F.col("digest"), F.lit(False))).alias("equal"),
-        F.bool_and(F.coalesce(F.col("value") == "", F.lit(False))).alias("empty"),
-        F.bool_or(F.coalesce(F.col("completeness") == "unknown", F.lit(False))).alias("unproven"),
-        F.bool_and(F.coalesce("authoritative", F.lit(False))).alias("authoritative"),
+        F.bool_and(F.coalesce("pinned", F.lit(False)) & F.col("observed")).alias("decidable"),
+        F.bool_and(F.coalesce("equal", F.lit(False))).alias("equal"),
+        F.bool_and("empty").alias("empty"),
+        F.bool_or("unproven").alias("unproven"),
+        F.bool_and("authoritative").alias("authoritative"),
         F.count(F.lit(1)).alias("touched"),
     )
     joined = grouped.join(artifacts.select("artifact_id", "contract"), "artifact_id")
@@ -90,7 +108,8 @@ def attest(verdicts_: DataFrame, evidence: DataFrame, snapshot: str, now: int, h
     """Attestations to append, ``created_at`` = ``now`` plus their place in the order of artifacts; one already in the history is not repeated.
 
     ``evidence(artifact_id, evidence)`` holds the observations of touched views and, carried on, the last ones of the others.
-    The place comes from counts of ranges of artifacts, so no task sorts them all.
+    The place comes from counts of ranges of artifacts, so no task sorts them all. ``verdicts_`` are read twice, for the counts and for
+    the rows: give them written, not to be computed again.
     """
     rows = verdicts_.join(evidence, "artifact_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     rows = rows.withColumn("bucket", F.substring(F.sha2("artifact_id", 256), 1, 3))

@@ -462,9 +462,10 @@ def transition_explanation(spark, sf):
 
 @query("SELECT artifact_id, projection_id, 'sha256:'||sha256(value) AS pinned FROM deps JOIN v0 USING (projection_id)")
 def pinned_digests(spark, sf):
-    obs = w.values(spark, sf, 0).select(ids.observation_id("projection_id", ids.content_hash("value"), F.lit("s0")).alias("observation_id"), "projection_id", ids.content_hash("value").alias("digest"))
+    own = ids.packed(ids.observation_id("projection_id", ids.content_hash("value"), F.lit("s0")))
+    obs = _held(w.values(spark, sf, 0).select(own.alias("observation_id"), "projection_id", ids.content_hash("value").alias("digest")))
     evidence = w.dependencies(spark, sf).join(obs, "projection_id").groupBy("artifact_id").agg(F.array_sort(F.collect_list("observation_id")).alias("evidence"))
-    old = evidence.select("artifact_id", F.lit(1).cast("long").alias("seq"), F.array(F.lit("none")).alias("evidence"))
+    old = evidence.select("artifact_id", F.lit(1).cast("long").alias("seq"), F.array(ids.packed(F.lit("none"))).alias("evidence"))
     return transition.pins(evidence.select("artifact_id", F.lit(2).cast("long").alias("seq"), "evidence").unionByName(old), obs)
 
 
