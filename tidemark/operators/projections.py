@@ -18,6 +18,12 @@ from tidemark.operators.semantic import resolve_symbols
 RELATIONS = ("references", "callers", "implementations", "subclasses")
 
 
+def key_of(subject: str, kind: str):
+    """The ``projection_id`` of the view of a kind and subject, in the kind's default scope."""
+    prop, variant, scope, _ = KINDS[kind]
+    return projection_id(F.lit(kind), F.lit(variant), subject, F.lit(prop), F.lit(SCOPES[scope]))
+
+
 def keys(subjects: DataFrame, kind: str) -> DataFrame:
     """``subjects(subject)`` as rows ``(projection_id, kind, subject, scope)`` in the kind's default scope; blank subjects stop the query."""
     prop, variant, scope, _ = KINDS[kind]

@@ -427,14 +427,14 @@ def transition_outcomes(spark, sf):
     return _outcomes(spark, sf).drop("authoritative")
 
 
-def _pins(spark, sf) -> DataFrame:
+def _pins(spark, sf, pairs: DataFrame | None = None) -> DataFrame:
     """The base attestation of every artifact pins what each of its views was."""
-    return w.dependencies(spark, sf).join(w.observations(spark, sf), "projection_id").select("artifact_id", "projection_id", F.col("digest").alias("pinned"))
+    return w.dependencies(spark, sf, pairs).join(w.observations(spark, sf), "projection_id").select("artifact_id", "projection_id", F.col("digest").alias("pinned"))
 
 
 def _decided(spark, sf) -> DataFrame:
-    changed = _outcomes(spark, sf).where("outcome = 'changed'")
-    return transition.verdicts(changed, w.dependencies(spark, sf), _pins(spark, sf), w.artifacts(spark, sf))
+    changed, pairs = _outcomes(spark, sf).where("outcome = 'changed'"), _held(w.ordered(spark, sf))
+    return transition.verdicts(changed, w.dependencies(spark, sf, pairs), _pins(spark, sf, pairs), w.artifacts(spark, sf))
 
 
 @query(
@@ -452,7 +452,7 @@ def transition_artifacts(spark, sf):
 def transition_attestations(spark, sf):
     none = spark.createDataFrame([], "artifact_id string, evidence array<string>")
     past = spark.createDataFrame([], "attestation_id string")
-    return transition.attest(_decided(spark, sf), none, "s1", 1000, past).select("artifact_id", "validity", "created_at")
+    return transition.attest(_held(_decided(spark, sf)), none, "s1", 1000, past).select("artifact_id", "validity", "created_at")
 
 
 @query("SELECT artifact_id, string_agg('dependency callers('||subject||') changed to ['||value||']', '; ' ORDER BY subject) AS explanation FROM touched GROUP BY 1")
@@ -832,7 +832,7 @@ def store_scan(spark, sf):
 )
 def attestation_identity(spark, sf):
     none, past = spark.createDataFrame([], "artifact_id string, evidence array<string>"), spark.createDataFrame([], "attestation_id string")
-    return transition.attest(_decided(spark, sf), none, "s1", 1000, past).select("artifact_id", "attestation_id")
+    return transition.attest(_held(_decided(spark, sf)), none, "s1", 1000, past).select("artifact_id", "attestation_id")
 
 
 @query("SELECT subject, 'no source serves callers' AS reason FROM keys")

@@ -80,12 +80,19 @@ def artifacts(spark, sf_dir) -> DataFrame:
     return c.select(F.concat(F.lit("fact."), F.col("c_custkey").cast("string")).alias("artifact_id"), F.when(F.expr("c_custkey % 4 = 0"), "absence-fact.v1").otherwise("set-equality.v1").alias("contract"))
 
 
-def dependencies(spark, sf_dir) -> DataFrame:
-    """Artifacts depend on the callers of the parts that their customers ordered."""
+def ordered(spark, sf_dir) -> DataFrame:
+    """``(artifact_id, subject)``: the parts that the customers ordered, each pair once."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     rows = o.select("o_orderkey", "o_custkey").join(li.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = rows.select(F.concat(F.lit("fact."), F.col("o_custkey").cast("string")).alias("artifact_id"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("subject")).distinct()
-    return rows.join(keys(spark, sf_dir, "callers").select("projection_id", "subject"), "subject").select("artifact_id", "projection_id")
+    # Numbers are shuffled, names are made of what is left.
+    rows = rows.select("o_custkey", "l_partkey").distinct().join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    return rows.select(F.concat(F.lit("fact."), F.col("o_custkey").cast("string")).alias("artifact_id"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("subject"))
+
+
+def dependencies(spark, sf_dir, pairs: DataFrame | None = None) -> DataFrame:
+    """Artifacts depend on the callers of the parts that their customers ordered. ``pairs`` is ``ordered``, where that was written already."""
+    pairs = ordered(spark, sf_dir) if pairs is None else pairs
+    return pairs.select("artifact_id", projections.key_of("subject", "callers").alias("projection_id"))
 
 
 def values(spark, sf_dir, version: int, relation: str = "callers") -> DataFrame:
