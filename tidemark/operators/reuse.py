@@ -153,7 +153,7 @@ class Service:
         past = self.store.read("attestations")
         pinned = transition.pins(past, observed.select("observation_id", "projection_id", F.col("value_digest").alias("digest")))
         edges = self.store.read("artifact_dependencies")
-        decided = transition.verdicts(changed, edges, pinned, self.store.read("artifacts"))
+        decided = self._hold(transition.verdicts(changed, edges, pinned, self.store.read("artifacts")))
         # What was evaluated is observed anew, changed or not, with the anchor it has now.
         new = outcome.where("value IS NOT NULL").join(touched.drop("anchor"), "projection_id").join(evaluated.select("projection_id", "anchor"), "projection_id")
         rows = new.select("outcome", "projection_id", "kind", "subject", "scope", F.lit(snapshot).alias("snapshot_id"), F.col("digest").alias("value_digest"), F.col("value").alias("canonical_value"), "anchor", F.lit(now).cast("long").alias("seq"))
