@@ -906,9 +906,10 @@ def garbage_blobs(spark, sf):
 @query("SELECT key, CASE WHEN bool_or(v0.value IS DISTINCT FROM v1.value) THEN CASE WHEN contract='absence-fact.v1' AND bool_and(v1.value='') FILTER (v0.value IS DISTINCT FROM v1.value) THEN 'VALID' ELSE 'STALE' END ELSE 'VALID' END AS validity FROM (SELECT artifact_id AS key, artifact_id, contract FROM arts) a JOIN deps USING (artifact_id) JOIN v0 USING (projection_id) JOIN v1 USING (projection_id) GROUP BY key, contract")
 def status(spark, sf):
     """Latest validity of every key after the delta: what was valid at the base, with what the transition appended."""
-    base = w.dependencies(spark, sf).select("artifact_id").distinct().select("artifact_id", F.lit("VALID").alias("validity"), F.lit(1).cast("long").alias("seq"))
+    pairs = _held(w.ordered(spark, sf))
+    base = pairs.where("artifact_id IS NOT NULL").select("artifact_id").distinct().select("artifact_id", F.lit("VALID").alias("validity"), F.lit(1).cast("long").alias("seq"))
     found = delta.candidates(reconcile(spark, sf), w.keys(spark, sf, "callers").withColumn("anchor", F.lit(None).cast("string")))
     evaluated = w.values(spark, sf, 1).select("projection_id", "value", F.lit(True).alias("authoritative"))
     changed = transition.outcomes(found, evaluated, w.observations(spark, sf)).where("outcome = 'changed'")
-    appended = transition.verdicts(changed, w.dependencies(spark, sf), _pins(spark, sf), w.artifacts(spark, sf)).select("artifact_id", "validity", F.lit(2).cast("long").alias("seq"))
+    appended = transition.verdicts(changed, w.dependencies(spark, sf, pairs), _pins(spark, sf, pairs), w.artifacts(spark, sf)).select("artifact_id", "validity", F.lit(2).cast("long").alias("seq"))
     return history.latest_validity(base.unionByName(appended)).select(F.col("artifact_id").alias("key"), "validity")
