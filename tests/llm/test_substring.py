@@ -190,3 +190,24 @@ def test_ends_of_slices(spark):
     wanted = substring_dedup.seeds_of(docs, 40).groupBy("seed").agg(*first, F.max("doc_id").alias("last"))
     got = substring_dedup.ends_of(docs, 40).groupBy("seed").agg(*first, F.max("last").alias("last"))
     assert sorted(got.collect()) == sorted(wanted.collect())
+
+
+def test_passage_far_beyond_its_last_seed(spark):
+    """After 20 equal words one word in five differs for 380 more: no seed, and the first look goes 128 words beyond; three long texts."""
+    texts = []
+    for x in range(3):
+        base = fresh(f"z{x}_", 400)
+        copy = base[:20] + [f"y{x}_{j}" if j % 5 == 0 else w for j, w in enumerate(base[20:])]
+        texts += [(10 * x, fresh(f"n{x}_", 300) + base + fresh(f"u{x}_", 300)), (10 * x + 1, fresh(f"o{x}_", 250) + copy + fresh(f"v{x}_", 250))]
+    got = covered(spark, texts)
+    assert all(set(range(250, 645)) <= got[10 * x + 1] <= set(range(240, 655)) for x in range(3))
+
+
+def test_short_piece_inside_a_longer_passage_of_another_source(spark):
+    """Document 3 holds 300 words of document 1; document 2 has 60 of these with one in eight changed: its link to 3 is no part of 1's."""
+    base = fresh("b", 300)
+    near = [f"e{j}" if j % 8 == 5 else w for j, w in enumerate(base[100:160])]
+    mixed = [w if j % 20 != 7 else f"s{j}" for j, w in enumerate(base)]
+    texts = [(1, mixed), (2, fresh("q", 30) + near + fresh("r", 30)), (3, fresh("t", 20) + base + fresh("w", 20))]
+    pairs = {(r["doc_id"], r["src_doc_id"]) for r in substring_dedup.repeats(frame(spark, [(i, " ".join(w)) for i, w in texts])).collect()}
+    assert {(2, 1), (3, 1), (3, 2)} <= pairs
